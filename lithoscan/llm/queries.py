@@ -1,9 +1,13 @@
 """Queries of the training-data operators, and their SQL where SQL can express them on whole tables."""
 
-from . import quality_rules, simhash
+from . import mixing, packing, quality_rules, sharding, simhash, substrings
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_substrings": substrings.op3_substrings,
+    "op4_mixing": mixing.op4_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_packing": packing.op10_packing,
 }
-ORACLES: dict = {}
+ORACLES = {"op4_mixing": mixing.oracle()}
