@@ -1,4 +1,6 @@
 """Queries by name, each with the SQL that it is checked against where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .operators import drc_queries
+
+QUERIES: dict = {**drc_queries.QUERIES}
+ORACLES: dict = {**drc_queries.ORACLES}
