@@ -1,6 +1,7 @@
 """Queries by name, each with the SQL that it is checked against where SQL can express it."""
 
-from .operators import drc_queries
+from .operators import drc_queries, lvs_queries
 
-QUERIES: dict = {**drc_queries.QUERIES}
-ORACLES: dict = {**drc_queries.ORACLES}
+MODULES = (drc_queries, lvs_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
