@@ -182,9 +182,9 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFram
     """
     log = min(26, max(16, (8 * n_wanted).bit_length()))
     at = wanted.select(F.pmod("unit", F.lit(1 << log)).alias("h"))
-    words = at.groupBy(F.shiftright("h", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (log - 5), dtype=np.uint32)
-    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    words = at.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (log - 6), dtype=np.uint64)
+    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFram
             for t in b.column(2).to_pylist():
                 _, _, hashes, shingles = paragraphs(t)
                 h = hashes & np.uint64((1 << log) - 1)
-                hit = (bits[h >> np.uint64(5)] >> (h & np.uint64(31)).astype(np.uint32)) & 1
+                hit = (bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
                 for i in np.flatnonzero(hit):
                     ids.append(int(hashes[i].view(np.int64)))
                     sets.append(np.unique(shingles[i]).view(np.int64))
