@@ -7,6 +7,7 @@ a lost executor costs a re-read, never a recomputation from the texts.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more, before a stage that needs the room."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_text_batches(spark: SparkSession) -> None:
     """Hold down the Arrow batches that carry whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
@@ -99,6 +106,15 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that no name of theirs meets an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def utf8(text: Column) -> Column:
     """A text's UTF-8 bytes; null is empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -79,6 +79,7 @@ def link_buckets(
     link: Callable[[dict[str, list | np.ndarray]], list[tuple[int, int]]],
     block: int = 2048,
     schema: str = "a long, b long",
+    with_payload: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Edges that ``link`` finds within each bucket of ``rows``.
 
@@ -86,11 +87,14 @@ def link_buckets(
     forest of its true links, so a bucket of k rows gives fewer than k edges. A
     bucket of more than ``block`` rows is dealt to blocks by ``spread``; each
     pair of blocks is a task's work of its own, so no task holds more than two
-    blocks and no pair is missed. Eager only in the count of oversized buckets.
+    blocks and no pair is missed. Where the payload comes by a join,
+    ``with_payload`` adds it after the buckets are counted. Eager only in that count.
     """
     heavy = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(f"__n > {block}")
     heavy = heavy.select(*[F.col(k).alias(f"__h_{k}") for k in key], F.ceil(F.col("__n") / F.lit(block // 2)).cast("int").alias("__nb"))
-    if heavy.head(1):
+    is_heavy = bool(heavy.head(1))
+    rows = with_payload(rows)
+    if is_heavy:
         on = [F.col(k) == F.col(f"__h_{k}") for k in key]
         marked = rows.join(heavy, on, "left").withColumn(
             "__i", F.when(F.col("__nb").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__nb")).cast("int"))

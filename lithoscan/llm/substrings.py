@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, shuffle_partitions, small_text_batches, table, utf8
+from .common import discard, materialize, packed, release, shuffle_partitions, small_text_batches, table, unpacked, utf8
 from .components import connected_components, link_buckets
 
 SHINGLE, WORDS, WINDOW = 5, 20, 30
+#: Paragraphs whose shingles a task remembers having sent; never changes results.
+SENT = 200_000
 SIMILARITY, RECALL, BACKGROUND, FALSE = 0.8, 0.98, 0.1, 0.05
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
 def _powers(n: int) -> np.ndarray:
     out = np.empty(n, dtype=np.uint64)
     value = 1
@@ -174,11 +178,12 @@ def _colliding(found: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """``(unit, shingles)`` of at least the ``wanted(unit)`` units.
+    """``(unit, shingles)`` of at least the ``wanted(unit)`` units; shingles: their hashes' low 32 bits, sorted, as bytes.
 
     The texts are read again rather than shuffled: a bitmap of the wanted hashes,
     8 to 16 bits for each and at most 8 MB, goes to the tasks, and what passes it
-    by chance is dropped by the later join.
+    by chance is dropped by the later join. A task sends a unit that it has
+    just sent only once more after ``SENT`` others.
     """
     log = min(26, max(16, (8 * n_wanted).bit_length()))
     at = wanted.select(F.pmod("unit", F.lit(1 << log)).alias("h"))
@@ -188,7 +193,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bits, known = sent.value, set()
         for b in batches:
             ids, sets = [], []
             for t in b.column(2).to_pylist():
@@ -196,17 +201,21 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFram
                 h = hashes & np.uint64((1 << log) - 1)
                 hit = (bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
                 for i in np.flatnonzero(hit):
-                    ids.append(int(hashes[i].view(np.int64)))
-                    sets.append(np.unique(shingles[i]).view(np.int64))
+                    if (unit := int(hashes[i].view(np.int64))) not in known:
+                        known.add(unit)
+                        ids.append(unit)
+                        sets.append(np.unique(shingles[i].astype(np.uint32)).tobytes())
+            if len(known) > SENT:
+                known.clear()
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets, pa.list_(pa.int64()))], names=["unit", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "unit long, shingles array<long>")
+    return _texts(docs).mapInArrow(run, "unit long, shingles binary")
 
 
 def _similar(similarity: float):
     def link(g: dict) -> list[tuple[int, int]]:
-        ids, sets = g["unit"], [frozenset(s) for s in g["shingles"]]
+        ids, sets = g["unit"], [frozenset(np.frombuffer(s, np.uint32).tolist()) for s in g["shingles"]]
         edges, rest = [], list(range(len(sets)))
         while len(rest) > 1:
             root, rest = rest[0], rest[1:]
@@ -247,17 +256,23 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall:
     equal = found.groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     equal = materialize(equal.select("unit", F.col("unit").alias("class_id")), "paragraphs-equal")
     near = materialize(_colliding(found), "paragraphs-near")
+    slim = materialize(found.drop("bands"), "paragraphs-slim")
+    discard(found)
+    release(docs.sparkSession)
     wanted = near.select("unit").distinct()
     if n_wanted := wanted.count():
         sets = _shingle_sets(docs, wanted, n_wanted).dropDuplicates(["unit"])
-        rows_ = materialize(near.join(sets, "unit"), "paragraphs-sets")
-        edges = link_buckets(rows_, ["key"], "unit", ["unit", "shingles"], _similar(similarity), block)
+        edges = link_buckets(near, ["key"], "unit", ["unit", "shingles"], _similar(similarity), block, with_payload=lambda rows: rows.join(sets, "unit"))
         joined = connected_components(edges).select(F.col("node").alias("unit"), F.col("root").alias("class_id"))
         classes = joined.union(equal.join(joined.select("unit"), "unit", "left_anti"))
+        del sets, edges
+        release(docs.sparkSession)
     else:
         classes = equal
-    members = materialize(found.drop("bands").join(classes, "unit"), "paragraphs-members")
-    discard(found)
+    members = materialize(slim.join(classes, "unit"), "paragraphs-members")
+    discard(slim)
+    discard(near)
+    release(docs.sparkSession)
     across = members.groupBy("class_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
     return members.join(across, "class_id").select("doc_id", "text_hash", "start", "n_words", "class_id", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
 
@@ -287,23 +302,22 @@ def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     A row of which no word is left goes, other rows stay with all columns.
     """
     gone = repeated_paragraphs(docs, similarity).where("removed")
-    spans = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words")).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__spans")
-    on = (docs["doc_id"].cast("long") == spans["__id"]) & (F.xxhash64(utf8(docs["text"])) == spans["__hash"])
+    spans = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), "spans")
+    base = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(utf8(F.col("text"))).alias("hash"))
+    both = base.join(spans, (F.col("id") == F.col("span_id")) & (F.col("hash") == F.col("span_hash")), "left")
 
     @F.pandas_udf("string")
     def shorter(text, cuts):  # noqa: ANN001
         return text.combine(cuts, lambda t, c: t if c is None else cut_words(t, [(x["start"], x["n_words"]) for x in c]))
 
     small_text_batches(docs.sparkSession)
-    both = docs.join(spans, on, "left")
-    new = fresh(both.columns, "__new")
-    both = both.withColumn(new, shorter("text", "__spans")).where(F.col("__spans").isNull() | F.col(new).rlike("[^\\x20\\x09-\\x0D]"))
-    changed = F.col("__spans").isNotNull()
-    keep = {"text": F.when(changed, F.col(new)).otherwise(F.col("text")).alias("text")}
+    changed = F.col("spans").isNotNull()
+    both = both.select("row", "spans", shorter(F.col("row.text"), "spans").alias("new")).where(~changed | F.col("new").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.when(changed, F.col("new")).otherwise(F.col("row.text")).alias("text")}
     if "n_chars" in docs.columns:
-        keep["n_chars"] = F.when(changed, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return both.select(*[keep.get(c, F.col(c)) for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length("new")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return both.select(*[new.get(c, same) for c, same in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
