@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, materialize, table
+from .common import fresh, materialize, packed, table, unpacked
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Leaves up to which their table is broadcast; beyond, it is joined.
@@ -105,7 +105,7 @@ def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def _draw(seed: int) -> Column:
     """A document's place in the seeded order of the epoch ``epochs``."""
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.coalesce(F.col("__doc").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.coalesce(F.col("doc").cast("string"), F.lit(""))))
 
 
 def mix(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
@@ -115,48 +115,46 @@ def mix(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
     whole takes the longest prefix of its order that fits. Order is dealt to
     4,096 parts: parts before the one where the budget ends are taken whole
     and only that one is sorted, so no leaf is one task's work. Columns of
-    ``docs`` stay; the added ones get underscores where they clash. A null text
+    ``docs`` stay; the levels that it lacks come after them, then tokens and
+    copies, with underscores where they clash. A null text
     has no tokens and is taken with its place in the order; null languages and
     sources count as empty names; a null doc_id is drawn as an empty one; rows
     of one doc_id have one place and are taken in order of their text; an empty
     table gives an empty result. Eager up to the budgets.
     """
     names = list(spec.names)
-    added = [f"__{n}" for n in names]
-    base = docs.withColumns({a: F.expr(e) for a, (_, e) in zip(added, spec.levels, strict=True)}).withColumns({"__tokens": token_count(F.col("text")), "__doc": F.col("doc_id")})
-    as_levels = [F.col(a).alias(n) for a, n in zip(added, names, strict=True)]
-    slim = materialize(base.select(*as_levels, F.col("__doc"), F.col("__tokens").alias("tokens")), "mix-rows")
+    base = docs.select(packed(docs), *[F.expr(e).alias(n) for n, e in spec.levels], token_count(F.col("text")).alias("tokens"), F.col("doc_id").alias("doc"))
+    slim = materialize(base.select(*names, "doc", "tokens"), "mix-rows")
     leaves = materialize(budgets(slim, spec), "mix-budgets")
     few = leaves.count() <= BROADCAST_LEAVES
     small = lambda d: F.broadcast(d) if few else d
+    place = F.conv(F.substring(_draw(spec.seed), 1, 3), 16, 10).cast("int")
 
-    drawn = slim.join(small(leaves), names).withColumn("part", F.conv(F.substring(_draw(spec.seed), 1, 3), 16, 10).cast("int"))
-    parts = drawn.groupBy(*names, "part").agg(F.sum("tokens").alias("part_tokens"), F.first("rest").alias("rest"))
+    parts = slim.join(small(leaves), names).withColumn("part", place).groupBy(*names, "part").agg(F.sum("tokens").alias("part_tokens"), F.first("rest").alias("rest"))
     run = W.partitionBy(*names).orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = parts.withColumn("upto", F.sum("part_tokens").over(run)).where("upto > rest")
     ends = ends.groupBy(*names).agg(F.min("part").alias("end_part"), F.min_by(F.col("upto") - F.col("part_tokens"), "part").alias("before"))
-    keep = leaves.join(ends, names, "left").select(*[F.col(n).alias(a) for n, a in zip(names, added, strict=True)], "epochs", "rest", "end_part", "before")
-    keep = materialize(keep, "mix-ends")
-
-    rows = base.join(small(keep), added).withColumn("__u", _draw(spec.seed)).withColumn("__part", F.conv(F.substring("__u", 1, 3), 16, 10).cast("int"))
-    sure = rows.where("end_part is null or __part <> end_part").withColumn("__copies", F.col("epochs") + F.when(F.col("rest") == 0, 0).otherwise((F.col("__part") < F.coalesce("end_part", F.lit(1 << 12))).cast("long")))
-    order = W.partitionBy(*added).orderBy("__u", "__doc", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = rows.where("__part = end_part").withColumn("__sum", F.col("before") + F.sum("__tokens").over(order))
-    edge = edge.withColumn("__copies", F.col("epochs") + F.when(F.col("rest") == 0, 0).otherwise((F.col("__sum") <= F.col("rest")).cast("long"))).drop("__sum")
-    out, taken = sure.unionByName(edge).where("__copies > 0"), list(docs.columns)
-    new = []
-    for a, n in [*((a, n) for a, n in zip(added, names, strict=True) if n not in docs.columns), ("__tokens", "tokens"), ("__copies", "copies")]:
-        name = fresh(taken, n)
-        taken.append(name)
-        new.append(F.col(a).cast("long").alias(name) if n in ("tokens", "copies") else F.col(a).alias(name))
-    return out.select(*[F.col(c) for c in docs.columns], *new)
+    keep = materialize(leaves.join(ends, names, "left").select(*names, "epochs", "rest", "end_part", "before"), "mix-ends")
+
+    rows = base.join(small(keep), names).withColumn("part", place)
+    once_more = lambda fits: F.col("epochs") + (fits & (F.col("rest") > 0)).cast("long")
+    sure = rows.where("end_part is null or part <> end_part").withColumn("copies", once_more(F.col("part") < F.coalesce("end_part", F.lit(1 << 12))))
+    order = W.partitionBy(*names).orderBy(_draw(spec.seed), "doc", F.col("row.text")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = rows.where("part = end_part").withColumn("sum", F.col("before") + F.sum("tokens").over(order)).withColumn("copies", once_more(F.col("sum") <= F.col("rest"))).drop("sum")
+    taken = list(docs.columns)
+    new = [F.col(n) for n in names if n not in taken]
+    taken += [n for n in names if n not in taken]
+    for n in ("tokens", "copies"):
+        taken.append(fresh(taken, n))
+        new.append(F.col(n).cast("long").alias(taken[-1]))
+    return sure.unionByName(edge).where("copies > 0").select(*unpacked(docs.columns), *new)
 
 
 def mixed_documents(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once per epoch that takes them."""
     found = mix(docs, spec)
-    times = next(c for c in reversed(found.columns))
-    return found.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*docs.columns)
+    times = F.explode(F.array_repeat(F.lit(0), F.col(found.columns[-1]).cast("int"))).alias("times")
+    return found.select(packed(docs), times).select(*unpacked(docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

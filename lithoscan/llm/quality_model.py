@@ -108,15 +108,18 @@ def _tree(x: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.ndar
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Rule]]:
-    """Intercept and rules from statistics and labels; without both labels, the rows' share alone."""
+    """Intercept and rules from statistics and labels; the rows' share alone without both labels or without any split."""
+    share = (y.sum() + 0.5) / (len(y) + 1.0)
+    alone = float(np.log(share / (1 - share)))
     if len(y) == 0 or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1.0)
-        return float(np.log(share / (1 - share))), []
+        return alone, []
     cuts = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(x.shape[1])]
     out, paths = np.full(len(y), np.log(y.mean() / (1 - y.mean()))), set()
     for _ in range(TREES):
         p = sigmoid(out)
         _tree(x, cuts, y - p, p * (1 - p), np.arange(len(y)), (), DEPTH, paths, out)
+    if not paths:
+        return alone, []
     rules = [Rule(p) for p in sorted(paths)]
     hits = np.stack([r.holds(x) for r in rules], axis=1)
     _, first = np.unique(hits, axis=1, return_index=True)  # rules that hold for the same rows are one

@@ -104,7 +104,7 @@ def _normal(edges: DataFrame, by: str, to: str) -> DataFrame:
     return e.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 60, tolerance: float = 1e-4, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, distrust.
 
     ``distrust`` is the share of the host's distrust in its distrust, trust and
