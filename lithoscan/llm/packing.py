@@ -14,9 +14,11 @@ import itertools
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,9 @@ from .common import materialize, small_text_batches, table, with_rank
 
 LENGTH = 2048
 END_ID = 0
-#: Words whose ids a worker remembers; beyond, it starts anew. Never changes ids.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, at most twice as many: when so many are
+#: known they become the older half, and the older half goes. Never changes ids.
+REMEMBERED = 500_000
 SALTS = 32
 
 # The pre-tokenizer's classes within Latin letters and common punctuation.
@@ -57,6 +60,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -69,12 +73,23 @@ class Ids:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > REMEMBERED:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = self.whole(w)
+                self.older, self.known = known, {}
+                known = self.known
+            new = set(words).difference(known)
+            for w in new & self.older.keys():
+                known[w] = self.older[w]
+            new = list(new.difference(self.older))
+            for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[w] = array("I", found.ids).tobytes()
             return b"".join(map(known.__getitem__, words))
 
 
+@cache
+def shared_ids(path: str) -> Ids:
+    """The worker process's own :class:`Ids`, so that tasks after its first one know words already."""
+    return Ids(path)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -92,7 +107,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = shared_ids(path)
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
