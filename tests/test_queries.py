@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 from lithoscan import registry
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ["off_grid", "notch", "min_spacing_full", "eol_spacing", "min_enclosure_rect", "density_sliding", "min_area", "mos_devices", "parallel_reduce", "antenna_cumulative", "derived_xor", "missing_tie", "pex_coupling", "pex_interlayer", "tile_merge"]
+CHEAP = ["off_grid", "notch", "min_spacing_full", "eol_spacing", "min_enclosure_rect", "density_sliding", "min_area", "mos_devices", "parallel_reduce", "multiple_drivers", "derived_xor", "missing_tie", "pex_coupling", "pex_interlayer", "tile_merge"]
 
 
 @pytest.mark.parametrize("name", CHEAP)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lithoscan.operators import derived, drc, graph, pex, spatial
+from lithoscan.operators import derived, drc, graph, lvs, pex, spatial
 
 BOX = "id long, layer int, x0 long, y0 long, x1 long, y1 long"
 
@@ -120,3 +120,12 @@ def test_components_and_closure(spark):
     assert all(got[n] == top(n) for e in edges if e[0] != e[1] for n in e)
     reach = graph.closure(spark.createDataFrame([(1,)], "item long"), spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 4)], "src long, dst long"))
     assert sorted(r["item"] for r in reach.collect()) == [1, 2, 3]
+
+
+def test_series_devices_are_one(spark):
+    cols = "dev_id long, kind string, g long, s long, d long, w long, l long"
+    chain = spark.createDataFrame([(1, "nmos", 1, 10, 11, 100, 20), (2, "nmos", 1, 11, 12, 100, 20), (3, "nmos", 1, 12, 13, 100, 20), (4, "nmos", 2, 13, 14, 100, 20)], cols)
+    got = sorted((r["g"], r["s"], r["d"], r["l"]) for r in lvs.series_reduce(chain).collect())
+    assert [(g, {s, d}, ln) for g, s, d, ln in got] == [(1, {10, 13}, 60), (2, {13, 14}, 20)]
+    kept = lvs.series_reduce(chain, spark.createDataFrame([(11,), (12,)], "net long"))
+    assert kept.count() == 4
