@@ -31,7 +31,7 @@ LENGTH = 2048
 END_ID = 0
 #: Words whose ids a worker remembers, at most twice as many: when so many are
 #: known they become the older half, and the older half goes. Never changes ids.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SALTS = 32
 
 # The pre-tokenizer's classes within Latin letters and common punctuation.
