@@ -124,3 +124,21 @@ def test_results(spark):
     w = known.select("fingerprint", F.expr("if(measured = 1, date'2020-01-01', null)").alias("expires_on"))
     assert {r["measured"]: r["status"] for r in results.apply_waivers(known, w, "2026-01-01").collect()} == {1: "Expired", 2: "Waived"}
     assert len(results.canonical_json(known).collect()) == 2
+
+
+def test_parasitics_as_text(spark, tmp_path):
+    from lithoscan.sources import spef
+
+    nets = spark.createDataFrame([(2, 0.0, 500.0, 0.0), (1, 12.5, 1000.0, 3000.0), (-1, 1.0, 0.0, 0.0)], "net long, ohm double, ground_af double, coupling_af double")
+    names = spark.createDataFrame([(1, "vdd")], "net long, name string")
+    for make in (spef.spef, spef.dspf):
+        blocks = make(nets, "top", names)
+        spef.write(blocks, str(tmp_path / make.__name__))
+        text = "".join(p.read_text() for p in sorted((tmp_path / make.__name__).glob("part-*")))
+        assert text == "".join(r["block"] for r in blocks.sort("net").collect())
+        assert text.index("net_-1") < text.index("vdd") < text.index("net_2")
+        assert spef.spef(nets.limit(0), "top").count() == 1
+    found = {r["net"]: r["block"] for r in spef.spef(nets, "top", names).collect()}
+    assert found[1] == "*D_NET vdd 4.00000\n*CAP\n1 vdd:1 2.00000\n2 vdd:2 2.00000\n*RES\n1 vdd:1 vdd:2 12.5000\n*END\n"
+    assert "*RES" not in found[2] and found[None].startswith("*SPEF")
+    assert text.endswith(".ENDS\n")
