@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one of the smallest doc_id."""
-    return keep_one(docs)
+    """One document of each component, the smallest doc_id: links are SimHashes of 3 differing bits and five-word Jaccard of 0.8."""
+    return keep_one(docs, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

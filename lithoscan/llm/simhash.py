@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_text_batches, table, utf8
 from .components import connected_components, link_buckets
+from .substrings import similar_texts
 
 BITS = 64
 SEED = 42
@@ -239,13 +240,20 @@ def hamming_links(reps: DataFrame, partitions: list[Partition], distance: int, b
     return link_buckets(probes, ["part", "value"], "fp", ["own", "id", "fp"], link, block)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, block: int = 2048) -> DataFrame:
+def _to_reps(fps: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges from documents to the smallest doc_id of their fingerprints."""
+    return fps.join(reps, "fp").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, block: int = 2048, similarity: float | None = None) -> DataFrame:
     """``(doc_id, fp, component_id)``: every row's fingerprint and the smallest doc_id it is linked to.
 
     Rows of equal fingerprints are one node from the start, so a group of
     copies costs one row; links between different fingerprints come from
     :func:`hamming_links`. A null or empty text has fingerprint 0 and links like
-    any other. Rows of one doc_id are one document. A null doc_id keeps its row,
+    any other. With ``similarity``, documents whose 5-word shingles have that
+    Jaccard likeness are linked as well, whatever their fingerprints' distance.
+    Rows of one doc_id are one document. A null doc_id keeps its row,
     takes no part in linking, and has a null component. An empty table gives an
     empty result; other columns of ``docs`` are ignored.
     """
@@ -254,6 +262,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, block: i
     n, both = bit_counts(reps)
     if n > 1:
         edges = hamming_links(reps, plan_partitions(n, both, distance), distance, block)
+        if similarity is not None:
+            alike = materialize(similar_texts(docs, similarity), "simhash-alike")
+            ends = alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct()
+            edges = edges.union(alike).union(_to_reps(fps.join(ends, "doc_id", "left_semi"), reps))
         # a document of several rows with different texts joins their fingerprints
         roots = connected_components(edges)
         owner = reps.join(roots, reps["id"] == roots["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
@@ -263,12 +275,12 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, block: i
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each component.
+def keep_one(docs: DataFrame, distance: int = 3, similarity: float | None = None) -> DataFrame:
+    """``docs`` without all but the smallest doc_id of each component of :func:`near_duplicates`.
 
     Rows of a null doc_id stay. Of several rows of one kept doc_id, all stay.
     """
-    gone = near_duplicates(docs, distance).where("component_id is not null and component_id <> doc_id")
+    gone = near_duplicates(docs, distance, similarity=similarity).where("component_id is not null and component_id <> doc_id")
     ids = gone.select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(ids, docs["doc_id"] == ids["__gone"], "left_anti")
 

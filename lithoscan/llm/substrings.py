@@ -10,7 +10,7 @@ paragraph, wherever it stands.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -57,6 +57,25 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
+def _shingled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of their 5-word shingles."""
+    n, powers = len(words), _powers(WORDS)
+    w = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    rolled = np.zeros(n - SHINGLE + 1, dtype=np.uint64)
+    for k in range(SHINGLE):
+        rolled += w[k : n - SHINGLE + 1 + k] * powers[k]
+    return w, _mix(rolled)
+
+
+def whole_text(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A whole text as its one paragraph, in the form of :func:`paragraphs`."""
+    words = text.lower().split()
+    if len(words) < SHINGLE:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), []
+    _, shingles = _shingled(words)
+    return np.zeros(1, np.int64), np.array([len(words)]), np.array([xxhash.xxh64_intdigest(shingles.tobytes())], np.uint64), [shingles]
+
+
 def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts (in words), lengths, hashes and shingle hashes (a row each) of a text's paragraphs.
 
@@ -66,12 +85,8 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     n = len(words)
     if n < SHINGLE:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, 0), np.uint64)
-    w = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    w, shingles = _shingled(words)
     powers = _powers(WORDS)
-    rolled = np.zeros(n - SHINGLE + 1, dtype=np.uint64)
-    for k in range(SHINGLE):
-        rolled += w[k : n - SHINGLE + 1 + k] * powers[k]
-    shingles = _mix(rolled)
     if n <= WORDS:
         starts, length = np.zeros(1, np.int64), n
     else:
@@ -106,6 +121,20 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def ragged_band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """As :func:`band_keys`, for sets of any lengths from 1."""
+    flat = np.concatenate(sets)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    factors = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    keys = np.zeros((len(sets), bands), dtype=np.uint64)
+    for b in range(bands):
+        key = np.full(len(sets), b + 1, dtype=np.uint64)
+        for r in range(rows):
+            key = _mix(key * _BASE + np.minimum.reduceat(_mix(flat * factors[b * rows + r]), starts))
+        keys[:, b] = key
+    return keys
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     small_text_batches(docs.sparkSession)
     t = utf8(F.col("text"))
@@ -177,7 +206,7 @@ def _colliding(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, unit long")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, pieces: Callable = paragraphs) -> DataFrame:
     """``(unit, shingles)`` of at least the ``wanted(unit)`` units; shingles: their hashes' low 32 bits, sorted, as bytes.
 
     The texts are read again rather than shuffled: a bitmap of the wanted hashes,
@@ -197,7 +226,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFram
         for b in batches:
             ids, sets = [], []
             for t in b.column(2).to_pylist():
-                _, _, hashes, shingles = paragraphs(t)
+                _, _, hashes, shingles = pieces(t)
                 h = hashes & np.uint64((1 << log) - 1)
                 hit = (bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
                 for i in np.flatnonzero(hit):
@@ -236,6 +265,42 @@ def _similar(similarity: float):
     return link
 
 
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.9999, block: int = 512) -> DataFrame:
+    """Edges ``(a, b)`` between doc_ids whose texts' 5-word shingles have a Jaccard likeness of ``similarity`` or more.
+
+    Candidates come by MinHash bands that meet a pair of just ``similarity``
+    with chance ``recall``, and each is verified exactly; the edges are spanning
+    forests of the links. Of texts with equal words only the smallest doc_id has
+    edges. Texts of fewer than five words have no shingle and no
+    edge. Eager up to the edges.
+    """
+    bands, rows = tune(similarity, recall)
+    small_text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hashes, keys = [], [], []
+            for doc, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                _, _, h, sets = whole_text(t)
+                if len(h):
+                    ids.append(doc)
+                    hashes.append(h)
+                    keys.append(ragged_band_keys(sets, bands, rows)[0].view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "unit", "bands"])
+
+    found = materialize(_texts(docs).mapInArrow(run, "doc_id long, unit long, bands array<long>"), "texts")
+    ids = found.groupBy("unit").agg(F.min("doc_id").alias("id"))
+    near = materialize(_colliding(found), "texts-near")
+    wanted = near.select("unit").distinct()
+    if not (n_wanted := wanted.count()):
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    sets = _shingle_sets(docs, wanted, n_wanted, whole_text).dropDuplicates(["unit"])
+    links = link_buckets(near, ["key"], "unit", ["unit", "shingles"], _similar(similarity), block, with_payload=lambda rows: rows.join(sets, "unit"))
+    named = links.join(ids.select(F.col("unit").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("unit").alias("b"), F.col("id").alias("ib")), "b")
+    return named.where("ia <> ib").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+
+
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = 512) -> DataFrame:
     """Paragraphs that another document has too: ``doc_id, text_hash, start, n_words, class_id, keeper, removed``.
 
