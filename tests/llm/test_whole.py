@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lithoscan.llm import simhash
+from lithoscan.llm import simhash, substrings
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,3 +60,24 @@ def test_pipeline_near_dedup_by_brute_force(spark):
                 x, y = root(a), root(b)
                 of[max(x, y)] = min(x, y)
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, good, SF).collect()} == {root(i) for i in texts}
+
+
+def covered(found):
+    out = {}
+    for r in found:
+        out.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    return out
+
+
+def test_substrings_find_passages_changed_in_the_middle(spark):
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], {}
+    for k, n in enumerate((51, 55, 60, 80, 100) * 4):
+        base = new(n)
+        edited = [*base[: n // 2], "other", *base[n // 2 + 1 :]]
+        for i, p in ((2 * k, base), (2 * k + 1, edited)):
+            docs.append((i, "\n".join(" ".join(x) for x in (new(40), p, new(30)))))
+            want[i] = set(range(40, 40 + n))
+    got = covered(substrings.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert all(want[i] <= got.get(i, set()) for i in want)
