@@ -4,7 +4,8 @@ Passages repeat inside lines as well as over whole ones, so a paragraph is a
 stretch of ``WORDS`` words that starts where the text itself says: at the least
 5-word shingle of every ``WINDOW`` successive ones. Any passage of more than
 ``WORDS + WINDOW`` words that two documents share gives both at least one equal
-paragraph, wherever it stands. Beside these windows, the text's lines of more
+paragraph, wherever it stands; from there the match is extended word by word to
+all that they share. Beside these windows, the text's lines of more
 than ``WORDS`` words are paragraphs too, long ones cut by content into stretches
 of at least ``LONG`` words, so that one changed word in them leaves 0.8 alike.
 """
@@ -99,8 +100,8 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         starts = np.unique(least + np.arange(len(least)))
         if (shingles[starts[1:]] == shingles[starts[:-1]]).any():  # words that repeat in turn give a start per window only
             kept = [int(starts[0])]
-            for s in starts[1:].tolist():
-                if shingles[s] != shingles[kept[-1]] or s - kept[-1] >= WINDOW:
+            for s, after in zip(starts[1:].tolist(), [*starts[2:].tolist(), n], strict=True):
+                if shingles[s] != shingles[kept[-1]] or after - kept[-1] > WINDOW:
                     kept.append(s)
             starts = np.array(kept)
         starts = starts[starts + WORDS <= n]
@@ -319,14 +320,69 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     return named.where("ia <> ib").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
+def _extended(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What documents share before and after the windows ``seeds(doc_id, text_hash, start, n_words, unit)`` that they share.
+
+    Successive windows of a shared passage start at most ``WINDOW`` words apart,
+    and its first and last ones stand less than that from its ends, so ``WINDOW``
+    words to each side complete it. Of these words the longest run from the
+    window on that another document has, and the longest one that an earlier
+    document has, give a row each, of the window and the run:
+    ``doc_id, text_hash, start, n_words, class_id, keeper, removed``. Equal
+    sides are one row before their prefixes are compared.
+    """
+    spark = docs.sparkSession
+    own = seeds.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n_words", "unit")).alias("seeds")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    texts = _texts(docs)
+    both = texts.join(own, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", "t", "seeds")
+    schema = "doc_id long, text_hash long, seed int, n int, unit long, after boolean, side binary"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh32_digest
+        for b in batches:
+            out = []
+            for doc, text_hash, t, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                words = list(map(digest, t.lower().split()))
+                for x in found:
+                    s, n = x["start"], x["n_words"]
+                    for after, run in ((False, words[max(0, s - WINDOW) : s][::-1]), (True, words[s + n : s + n + WINDOW])):
+                        if run:
+                            out.append((doc, text_hash, s, n, x["unit"], after, b"".join(run)))
+            for at in range(0, len(out), 8192):
+                cols = zip(*out[at : at + 8192], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+
+    sides = materialize(both.mapInArrow(run, schema), "paragraphs-sides")
+    release(spark)
+    equal = materialize(sides.groupBy("unit", "after", "side").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "paragraphs-sides-equal")
+    several = equal.groupBy("unit", "after").agg(F.count(F.lit(1)).alias("sides")).withColumnsRenamed({"unit": "u", "after": "f"})
+    equal = equal.join(several, (F.col("unit") == F.col("u")) & (F.col("after") == F.col("f")))
+    key = F.xxhash64("unit", "after", "side").alias("key")
+    full = F.expr("length(side) div 4").cast("int").alias("k")
+    alone = equal.where("sides = 1 and lo < hi").select(key, F.array(F.struct(full, F.col("lo"), key.alias("class_id"))).alias("runs"))
+    each = equal.where("sides > 1").select(key, "unit", "after", "side", "lo", "hi", F.explode(F.sequence(F.lit(1), full)).alias("k"))
+    each = each.select("key", "k", F.expr("xxhash64(unit, after, substring(side, 1, 4 * k))").alias("prefix"), "lo", "hi")
+    shared = each.groupBy("prefix").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select(F.col("prefix").alias("class_id"), "first")
+    runs = each.join(shared, F.col("prefix") == F.col("class_id")).groupBy("key").agg(F.collect_list(F.struct("k", F.col("first").alias("lo"), "class_id")).alias("runs"))
+    found = sides.withColumn("key", key).drop("unit", "side").join(alone.union(runs), "key")
+    found = found.withColumn("all", F.array_max("runs")).withColumn("gone", F.array_max(F.filter("runs", lambda r: r["lo"] < F.col("doc_id"))))
+    found = found.select("*", F.explode(F.array_distinct(F.array_compact(F.array("all", "gone")))).alias("x"))
+    return found.select(
+        "doc_id", "text_hash", F.when(F.col("after"), F.col("seed")).otherwise(F.col("seed") - F.col("x.k")).alias("start"), (F.col("n") + F.col("x.k")).alias("n_words"),
+        "x.class_id", F.col("x.lo").alias("keeper"), (F.col("doc_id") != F.col("x.lo")).alias("removed"),
+    )
+
+
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = 512) -> DataFrame:
     """Paragraphs that another document has too: ``doc_id, text_hash, start, n_words, class_id, keeper, removed``.
 
     ``start`` and ``n_words`` count words as ``[^\\x20\\x09-\\x0D]+`` of the
     whole text, A-Z read as a-z. Equal paragraphs are one class from the start;
     paragraphs whose bands collide are verified by the exact Jaccard likeness of
-    their 5-word shingles, and components of links are joined. A class within
-    one document is left alone. The smallest doc_id of a class keeps its
+    their 5-word shingles, and components of links are joined. Equal windows are
+    extended to all words that two documents share around them; such a stretch
+    is a class of its own. A class within one document is left alone. The smallest doc_id of a class keeps its
     paragraphs, ``removed`` is true for all others.
 
     Rows of one doc_id are one document; rows of a null doc_id aren't compared;
@@ -353,11 +409,13 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, recall:
     else:
         classes = equal
     members = materialize(slim.join(classes, "unit"), "paragraphs-members")
+    seeds = materialize(slim.where(F.col("n_words") <= WORDS).join(equal.drop("class_id"), "unit").select("doc_id", "text_hash", "start", "n_words", "unit"), "paragraphs-seeds")
     discard(slim)
     discard(near)
     release(docs.sparkSession)
     across = members.groupBy("class_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
-    return members.join(across, "class_id").select("doc_id", "text_hash", "start", "n_words", "class_id", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    found = members.join(across, "class_id").select("doc_id", "text_hash", "start", "n_words", "class_id", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    return found.union(_extended(docs, seeds))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

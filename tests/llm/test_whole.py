@@ -81,3 +81,47 @@ def test_substrings_find_passages_changed_in_the_middle(spark):
             want[i] = set(range(40, 40 + n))
     got = covered(substrings.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert all(want[i] <= got.get(i, set()) for i in want)
+
+
+def test_substrings_cover_every_shared_word(spark):
+    rng = random.Random(6)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want, gone = [], {}, {}
+    for k, n in enumerate((51, 55, 60, 73, 100, 150, 400) * 4):
+        base = new(n)
+        for i in (3 * k, 3 * k + 1, 3 * k + 2):  # the second one has only the second half
+            part = base if i % 3 != 1 else base[n // 2 :]
+            docs.append((i, " ".join([*new(35), *part, *new(35)])))
+            if i % 3 != 1 or len(part) > 50:
+                want[i] = set(range(35, 35 + len(part)))
+            if i % 3 == 2:
+                gone[i] = want[i]
+    for i, n in enumerate((51, 100, 333)):
+        whole = " ".join(new(n))
+        docs += [(1000 + 2 * i, whole), (1001 + 2 * i, whole)]
+    turns = " ".join(["a b c d e f g"] * 40)  # words that repeat in turn
+    docs += [(2000, " ".join([*new(30), turns, *new(30)])), (2001, " ".join([*new(45), turns, *new(3)]))]
+    want[2000], want[2001] = set(range(30, 310)), set(range(45, 325))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substrings.repeated_paragraphs(df).collect()
+    got, cut = covered(found), covered([r for r in found if r["removed"]])
+    assert {i: sorted(want[i] - got.get(i, set())) for i in want if not want[i] <= got.get(i, set())} == {}
+    assert all(gone[i] <= cut.get(i, set()) for i in gone)
+    words = {i: t.split() for i, t in docs}
+    where = {}
+    for i, w in words.items():
+        for k in range(len(w)):
+            where.setdefault(w[k], set()).add(i)
+    assert all(len(where[words[i][k]]) > 1 for i, ks in got.items() for k in ks)
+    left = {r["doc_id"] for r in substrings.remove_repeats(df).collect()}
+    assert left == words.keys() - {1001, 1003, 1005}
+    # every shared passage of documents
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = covered(substrings.repeated_paragraphs(docs).collect())
+    words = {r["doc_id"]: r["text"].lower().split() for r in docs.collect() if r["text"].isascii()}
+    where = {}
+    for i, w in words.items():
+        for k in range(len(w) - 50):
+            where.setdefault(tuple(w[k : k + 51]), set()).add((i, k))
+    shared = [p for ps in where.values() if len({i for i, _ in ps}) > 1 for p in ps]
+    assert shared and all(set(range(k, k + 51)) <= got[i] for i, k in shared)
