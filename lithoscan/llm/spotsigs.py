@@ -30,14 +30,15 @@ ANCHORS = frozenset(
     el los las una y por con para su al lo del como más se no es""".split()
 )
 CHAIN = 2
-#: Below so many spots, a chain is also taken after every other word, so that
-#: short texts and tables have a fingerprint to compare.
-LEAST_SPOTS = 12
+#: Of a text's 3-word windows, those whose hash is divisible by this are spots
+#: too, in every text, so that short texts and tables have some to compare and
+#: a small edit never changes the kinds of spots.
+EVERY = 2
 WORD = re.compile(r"\w+")
 
 
-def spots(text: str, chain: int = CHAIN, least: int = LEAST_SPOTS) -> np.ndarray:
-    """Sorted 32-bit hashes of a text's spots; of the whole text where it has words but no chain."""
+def spots(text: str, chain: int = CHAIN, every: int = EVERY) -> np.ndarray:
+    """Sorted 32-bit hashes of a text's spots; of the whole text where it has none."""
     words = WORD.findall(text.lower())
     content, anchors = [], []
     for w in words:
@@ -46,13 +47,12 @@ def spots(text: str, chain: int = CHAIN, least: int = LEAST_SPOTS) -> np.ndarray
         else:
             content.append(w)
     end = len(content) - chain
-    found = {f"{a} {' '.join(content[c : c + chain])}" for a, c in anchors if c <= end}
-    if len(found) < least:
-        found |= {" ".join(words[i : i + chain + 1]) for i in range(len(words) - chain)}
-        if not found and text.strip():
-            found = {" ".join(words) or text}
     digest = xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((digest(s) for s in found), np.uint32, len(found)))
+    found = {digest(f"{a} {' '.join(content[c : c + chain])}") for a, c in anchors if c <= end}
+    found.update(h for h in map(digest, map(" ".join, zip(*(words[i:] for i in range(chain + 1))))) if h % every == 0)
+    if not found and text.strip():
+        found = {digest(" ".join(words) or text)}
+    return np.unique(np.fromiter(found, np.uint32, len(found)))
 
 
 def fingerprint(found: np.ndarray) -> str:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lithoscan.llm import simhash, substrings
+from lithoscan.llm import simhash, spotsigs, substrings
 
 SF = "/root/testdata/sf0.01"
 
@@ -125,3 +125,14 @@ def test_substrings_cover_every_shared_word(spark):
             where.setdefault(tuple(w[k : k + 51]), set()).add((i, k))
     shared = [p for ps in where.values() if len({i for i, _ in ps}) > 1 for p in ps]
     assert shared and all(set(range(k, k + 51)) <= got[i] for i, k in shared)
+
+
+def test_spots_do_not_jump_with_one_word():
+    rng = random.Random(7)
+    for n in range(9, 16):  # anchors; the step was at 12 spots
+        words = []
+        for k in range(n):
+            words += ["the", *[f"c{rng.randrange(10**6)}" for _ in range(9)]]
+        less = words[:10] + words[11:]  # one anchor fewer
+        a, b = spotsigs.spots(" ".join(words)), spotsigs.spots(" ".join(less))
+        assert spotsigs.likeness(a, b) > 0.8, n
