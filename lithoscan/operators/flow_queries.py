@@ -31,7 +31,7 @@ def _waivers(s, d):
 
 
 def _invalid(s, d):
-    changes = spark_view(s, d, CHANGES).where("event_id % 100 = 0").select("layer", F.lit("top/a").alias("path"), (F.col("tx") * 100).alias("x0"), (F.col("ty") * 100).alias("y0"), (F.col("tx") * 100 + 100).alias("x1"), (F.col("ty") * 100 + 100).alias("y1"))
+    changes = spark_view(s, d, CHANGES).select("layer", "tx", "ty").distinct().select("layer", F.lit("top/a").alias("path"), (F.col("tx") * 100).alias("x0"), (F.col("ty") * 100).alias("y0"), (F.col("tx") * 100 + 100).alias("x1"), (F.col("ty") * 100 + 100).alias("y1"))
     rules = spark_view(s, d, "SELECT p_partkey AS rule, CASE p_size % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'purchase' END AS layer, CASE WHEN p_partkey % 2 = 0 THEN 'top' ELSE 'other' END AS prefix, p_partkey * 37 % 5000 AS x0, p_partkey * 53 % 4000 AS y0, p_partkey * 37 % 5000 + 300 AS x1, p_partkey * 53 % 4000 + 300 AS y1 FROM part")
     depends = spark_view(s, d, "SELECT p_partkey AS src, p_partkey + 500 AS dst FROM part")
     return results.invalidated(changes, rules, depends)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import closure
+from ..operators.spatial import candidates
 
 FIELDS = ["rule_id", "kind", "layer", "measured", "limit", "x", "y"]
 
@@ -49,8 +50,9 @@ def invalidated(changes: DataFrame, rules: DataFrame, depends: DataFrame) -> Dat
     a rule is touched if the layer is the same, the boxes meet and the path
     begins with the prefix. ``depends(src, dst)``: dst reads src's result.
     """
-    c = changes.select("layer", F.col("path"), *[F.col(x).alias(f"c_{x}") for x in ("x0", "y0", "x1", "y1")])
-    hit = c.join(rules.withColumnRenamed("layer", "rl"), (F.col("layer") == F.col("rl")) & F.col("path").startswith(F.col("prefix")) & (F.col("c_x0") <= F.col("x1")) & (F.col("x0") <= F.col("c_x1")) & (F.col("c_y0") <= F.col("y1")) & (F.col("y0") <= F.col("c_y1")))
+    box = ["x0", "y0", "x1", "y1"]
+    pairs = candidates(rules.select("rule", "layer", "prefix", *box), changes.select("layer", "path", *box).distinct(), 0, ("layer",))
+    hit = pairs.where(F.col("b_path").startswith(F.col("a_prefix"))).withColumnRenamed("a_rule", "rule")
     return closure(hit.select(F.col("rule").alias("item")), depends)
 
 
