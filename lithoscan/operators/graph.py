@@ -63,14 +63,17 @@ def closure(start: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFr
     raise RuntimeError("closure did not converge")
 
 
-def refine(pins: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def refine(pins: DataFrame, seeds: DataFrame | None = None, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Joint partition refinement of ``pins(side, dev_id, kind, role, net)`` of two netlists.
 
     Devices and nets get classes by their neighbours' classes until the number
     of classes stays; a class is a hash of the kind and the sorted multiset of
     (role, neighbour's class), so equal hashes on both sides correspond.
     ``seeds(side, net, name)`` gives nets a name of their own to begin with.
-    Returns ``devices(side, dev_id, cls)`` and ``nets(side, net, cls)``.
+    Returns ``devices(side, dev_id, cls)`` and ``nets(side, net, cls)``. Classes
+    travel one device a round; every round but the last adds a class, so there
+    are no more rounds than devices and nets, ``max_rounds`` unless given.
+    Classes that have not settled by then raise.
     """
     pins = staged(pins, "pins")
     nets = pins.select("side", "net").distinct()
@@ -79,6 +82,8 @@ def refine(pins: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 10
     else:
         nets = nets.withColumn("cls", F.lit(0).cast("long"))
     nets, count, devices = staged(nets, "nets"), -1, None
+    if max_rounds is None:
+        max_rounds = pins.select("side", "dev_id").distinct().count() + nets.count() + 2
     for _ in range(max_rounds):
         with_net = pins.join(nets, ["side", "net"])
         devices = with_net.groupBy("side", "dev_id").agg(
@@ -91,4 +96,6 @@ def refine(pins: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 10
         if now == count:
             break
         count = now
+    else:
+        raise RuntimeError("refinement did not settle")
     return devices, nets

@@ -1,8 +1,9 @@
 """That layout queries do their whole job: cases that cuts in them have missed."""
 
 import duckdb
+import pytest
 
-from lithoscan.operators import flow_queries
+from lithoscan.operators import flow_queries, graph, lvs
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +25,25 @@ def test_invalidated_rules_by_brute_force(spark):
             want.add(after)
             todo.append(after)
     assert got == want
+
+
+def chains(spark, lengths):
+    rows, net = [], 0
+    for n in lengths:
+        for _ in range(n):
+            rows.append((len(rows), "nmos", -1 - len(rows), net, net + 1, 1, 1))
+            net += 1
+        net += 1
+    return spark.createDataFrame(rows, "dev_id long, kind string, g long, s long, d long, w long, l long")
+
+
+def test_refinement_settles_or_raises(spark):
+    pins = lvs.device_pins(chains(spark, [30]), "layout")
+    with pytest.raises(RuntimeError):
+        graph.refine(pins, max_rounds=5)
+    assert graph.refine(pins)[0].select("cls").distinct().count() == 15
+
+
+def test_long_chains_of_unequal_split_differ(spark):
+    checks = [r["check"] for r in lvs.compare(chains(spark, [204, 212]), chains(spark, [208, 208])).collect()]
+    assert "topology" in checks
