@@ -262,11 +262,13 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, block: i
     n, both = bit_counts(reps)
     if n > 1:
         edges = hamming_links(reps, plan_partitions(n, both, distance), distance, block)
+        # a document of several rows with different texts joins their fingerprints
+        several = fps.groupBy("doc_id").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
+        edges = edges.union(_to_reps(fps.join(several.select("doc_id"), "doc_id", "left_semi"), reps))
         if similarity is not None:
             alike = materialize(similar_texts(docs, similarity), "simhash-alike")
             ends = alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct()
             edges = edges.union(alike).union(_to_reps(fps.join(ends, "doc_id", "left_semi"), reps))
-        # a document of several rows with different texts joins their fingerprints
         roots = connected_components(edges)
         owner = reps.join(roots, reps["id"] == roots["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
     else:

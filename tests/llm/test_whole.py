@@ -136,3 +136,11 @@ def test_spots_do_not_jump_with_one_word():
         less = words[:10] + words[11:]  # one anchor fewer
         a, b = spotsigs.spots(" ".join(words)), spotsigs.spots(" ".join(less))
         assert spotsigs.likeness(a, b) > 0.8, n
+
+
+def test_rows_of_one_document_are_one_component(spark):
+    rng = random.Random(8)
+    new = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = new(), new(), new()
+    docs = spark.createDataFrame([(1, a), (3, a), (3, b), (4, b), (5, c)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()} == {(1, 1), (3, 1), (4, 1), (5, 5)}
