@@ -11,6 +11,7 @@ still have as the bound.
 from __future__ import annotations
 
 import itertools
+import logging
 import os
 import re
 import zlib
@@ -307,6 +308,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     full = counts.pop(length, 0)
     patterns = bin_completion(counts, length)
+    logging.getLogger(__name__).info("%d sequences for pieces shorter than %d, lower bound %d", sum(m for _, m in patterns), length, lower_bound(counts, length))
     if full:
         patterns = [*patterns, ((length,), full)]
     where = spark.createDataFrame(runs(patterns), "size long, lo long, hi long, each long, base long, place long")

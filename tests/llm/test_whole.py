@@ -1,9 +1,10 @@
 """That the stages do their whole job: cases that cuts in them have missed."""
 
+import logging
 import random
 
 import corpus_pipeline
-from lithoscan.llm import simhash, spotsigs, substrings
+from lithoscan.llm import packing, simhash, spotsigs, substrings
 
 SF = "/root/testdata/sf0.01"
 
@@ -144,3 +145,10 @@ def test_rows_of_one_document_are_one_component(spark):
     a, b, c = new(), new(), new()
     docs = spark.createDataFrame([(1, a), (3, a), (3, b), (4, b), (5, c)], "doc_id long, text string")
     assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()} == {(1, 1), (3, 1), (4, 1), (5, 5)}
+
+
+def test_packing_logs_its_gap(spark, caplog):
+    docs = spark.createDataFrame([(i, "word " * (20 * i + 1)) for i in range(9)], "doc_id long, text string")
+    with caplog.at_level(logging.INFO, logger=packing.__name__):
+        used = packing.pack(docs).where("length < 2048").select("sequence_id").distinct().count()
+    assert any(f"{used} sequences" in m and "lower bound" in m for m in caplog.messages)
