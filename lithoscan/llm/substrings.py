@@ -179,6 +179,8 @@ def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 continue
             whole = np.concatenate([f[2] for f in found])
             keys = band_keys([x for f in found for x in f[3]], bands, rows)
+            is_line = np.concatenate([f[1] for f in found]) > WORDS
+            keys[is_line] = _mix(keys[is_line])  # lines meet lines only, not the windows within them
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(b.column(0).to_numpy(), n)),
@@ -354,6 +356,8 @@ def _extended(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
     sides = materialize(both.mapInArrow(run, schema), "paragraphs-sides")
+    del own, texts, both
+    discard(seeds)
     release(spark)
     equal = materialize(sides.groupBy("unit", "after", "side").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "paragraphs-sides-equal")
     several = equal.groupBy("unit", "after").agg(F.count(F.lit(1)).alias("sides")).withColumnsRenamed({"unit": "u", "after": "f"})
