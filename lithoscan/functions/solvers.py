@@ -4,46 +4,62 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 
 
-def conjugate_gradient(g: np.ndarray, i: np.ndarray, tolerance: float = 1e-10, rounds: int = 20_000) -> np.ndarray:
-    """x of g x = i for a symmetric positive definite g; no convergence raises."""
+def conjugate_gradient(product: Callable[[np.ndarray], np.ndarray], i: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-10, rounds: int = 20_000) -> np.ndarray:
+    """x of g x = i for a symmetric positive definite g, given by its ``product`` with a vector and its ``diagonal``; no convergence raises."""
     x = np.zeros_like(i, dtype=float)
-    r = i - g @ x
-    p, rr = r.copy(), float(r @ r)
+    r = i - product(x)
+    z = r / diagonal
+    p, rz = z.copy(), float(r @ z)
     end = tolerance * max(float(np.linalg.norm(i)), 1e-300)
     for _ in range(rounds):
-        if rr**0.5 <= end:
+        if float(np.linalg.norm(r)) <= end:
             return x
-        q = g @ p
-        a = rr / float(p @ q)
+        q = product(p)
+        a = rz / float(p @ q)
         x, r = x + a * p, r - a * q
-        rr, old = float(r @ r), rr
-        p = r + rr / old * p
+        z = r / diagonal
+        rz, old = float(r @ z), rz
+        p = z + rz / old * p
     raise ArithmeticError("conjugate gradient did not converge")
 
 
 def solve_grid(edges: list[tuple[int, int, float]], fixed: dict[int, float], loads: dict[int, float]) -> dict[int, float]:
-    """Voltages of a resistor network: ``edges`` (a, b, ohm), ``fixed`` voltages and drawn currents; fixed nodes are eliminated."""
+    """Voltages of a resistor network: ``edges`` (a, b, ohm), ``fixed`` voltages and drawn currents; fixed nodes are eliminated.
+
+    The network stays a list of branches, so memory is that of its edges.
+    """
     nodes = sorted({n for a, b, _ in edges for n in (a, b)} | fixed.keys() | loads.keys())
-    free = [n for n in nodes if n not in fixed]
-    at = {n: k for k, n in enumerate(free)}
-    g, i = np.zeros((len(free), len(free))), np.zeros(len(free))
-    for a, b, ohm in edges:
-        for p, q in ((a, b), (b, a)):
-            if p in at:
-                g[at[p], at[p]] += 1 / ohm
-                if q in at:
-                    g[at[p], at[q]] -= 1 / ohm
-                else:
-                    i[at[p]] += fixed[q] / ohm
+    at = {n: k for k, n in enumerate(nodes)}
+    a = np.array([at[x] for x, _, _ in edges], dtype=np.int64)
+    b = np.array([at[y] for _, y, _ in edges], dtype=np.int64)
+    siemens = np.array([1 / ohm for _, _, ohm in edges])
+    volts, free = np.zeros(len(nodes)), np.ones(len(nodes), dtype=bool)
+    for n, v in fixed.items():
+        volts[at[n]], free[at[n]] = v, False
+
+    def flow(v: np.ndarray) -> np.ndarray:
+        """Current that leaves each node."""
+        along = siemens * (v[a] - v[b])
+        return np.bincount(a, along, len(nodes)) - np.bincount(b, along, len(nodes))
+
+    drawn = np.zeros(len(nodes))
     for n, amps in loads.items():
-        if n in at:
-            i[at[n]] -= amps
-    x = conjugate_gradient(g, i) if free else np.empty(0)
-    return {**fixed, **{n: float(x[k]) for n, k in at.items()}}
+        drawn[at[n]] += amps
+    if free.any():
+        whole = np.zeros(len(nodes))
+
+        def product(x: np.ndarray) -> np.ndarray:
+            whole[free] = x
+            return flow(np.where(free, whole, 0.0))[free]
+
+        diagonal = (np.bincount(a, siemens, len(nodes)) + np.bincount(b, siemens, len(nodes)))[free]
+        volts[free] = conjugate_gradient(product, (-flow(np.where(free, 0.0, volts)) - drawn)[free], np.maximum(diagonal, 1e-300))
+    return {n: float(volts[k]) for n, k in at.items()}
 
 
 def effective_resistance(edges: list[tuple[int, int, float]], a: int, b: int) -> float:

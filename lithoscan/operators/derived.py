@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.stage import staged
 from .graph import labelled
-from .spatial import candidates, overlap
+from .spatial import candidates, overlap, tiled
 
 BOX = ["x0", "y0", "x1", "y1"]
 OPS = {
@@ -26,26 +27,30 @@ OPS = {
 
 
 def boolean(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """Disjoint boxes of ``a op b``, group by group.
+    """Disjoint boxes of ``a op b``, group by group, cut at the borders of tiles.
 
-    Between successive x of a group's sides lies a slab; within it, running
-    counts of opened and closed boxes over y tell where each side covers.
+    Boxes are cut into tiles first, so the work is by (group, tile) and a
+    chip-wide group is many tasks' work. Between successive x of a tile's sides
+    lies a slab; within it, running counts of opened and closed boxes over y
+    tell where each side covers.
     """
     both = a.select("grp", *BOX, F.lit(1).alias("da"), F.lit(0).alias("db")).union(b.select("grp", *BOX, F.lit(0), F.lit(1)))
-    both = both.where("x1 > x0 and y1 > y0")
-    xs = both.select("grp", F.explode(F.array("x0", "x1")).alias("x")).distinct()
-    slabs = xs.withColumn("nx", F.lead("x").over(W.partitionBy("grp").orderBy("x"))).where("nx is not null").withColumnRenamed("grp", "sg")
-    cut = both.join(slabs, (F.col("grp") == F.col("sg")) & (F.col("x0") <= F.col("x")) & (F.col("nx") <= F.col("x1")))
-    events = cut.select("grp", "x", "nx", F.explode(F.array(F.struct(F.col("y0").alias("y"), F.col("da").alias("da"), F.col("db").alias("db")), F.struct(F.col("y1").alias("y"), (-F.col("da")).alias("da"), (-F.col("db")).alias("db")))).alias("e"))
-    events = events.groupBy("grp", "x", "nx", F.col("e.y").alias("y")).agg(F.sum("e.da").alias("da"), F.sum("e.db").alias("db"))
-    order = W.partitionBy("grp", "x").orderBy("y")
+    both = tiled(both.where("x1 > x0 and y1 > y0"))
+    keys = ["grp", "tx", "ty"]
+    xs = both.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    slabs = xs.withColumn("nx", F.lead("x").over(W.partitionBy(*keys).orderBy("x"))).where("nx is not null").withColumnsRenamed({k: f"s_{k}" for k in keys})
+    same = (F.col("grp") == F.col("s_grp")) & (F.col("tx") == F.col("s_tx")) & (F.col("ty") == F.col("s_ty"))
+    cut = both.join(slabs, same & (F.col("x0") <= F.col("x")) & (F.col("nx") <= F.col("x1")))
+    events = cut.select(*keys, "x", "nx", F.explode(F.array(F.struct(F.col("y0").alias("y"), F.col("da").alias("da"), F.col("db").alias("db")), F.struct(F.col("y1").alias("y"), (-F.col("da")).alias("da"), (-F.col("db")).alias("db")))).alias("e"))
+    events = events.groupBy(*keys, "x", "nx", F.col("e.y").alias("y")).agg(F.sum("e.da").alias("da"), F.sum("e.db").alias("db"))
+    order = W.partitionBy(*keys, "x").orderBy("y")
     run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    state = events.select("grp", "x", "nx", "y", F.lead("y").over(order).alias("ny"), (F.sum("da").over(run) > 0).alias("in_a"), (F.sum("db").over(run) > 0).alias("in_b"))
+    state = events.select(*keys, "x", "nx", "y", F.lead("y").over(order).alias("ny"), (F.sum("da").over(run) > 0).alias("in_a"), (F.sum("db").over(run) > 0).alias("in_b"))
     kept = state.withColumn("keep", OPS[op](F.col("in_a"), F.col("in_b")))
     # successive intervals of a slab that are kept are one box
     opens = F.col("keep") & ~F.coalesce(F.lag("keep").over(order), F.lit(False))
     runs = kept.withColumn("part", F.sum(opens.cast("int")).over(run)).where("keep and ny is not null")
-    return runs.groupBy("grp", F.col("x").alias("x0"), F.col("nx").alias("x1"), "part").agg(F.min("y").alias("y0"), F.max("ny").alias("y1")).select("grp", *BOX)
+    return runs.groupBy(*keys, F.col("x").alias("x0"), F.col("nx").alias("x1"), "part").agg(F.min("y").alias("y0"), F.max("ny").alias("y1")).select("grp", *BOX)
 
 
 def grouped(*layers: DataFrame, margin: int = 0) -> list[DataFrame]:
@@ -75,6 +80,15 @@ def areas(region: DataFrame) -> DataFrame:
     return region.groupBy("grp").agg(F.sum((F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0"))).cast("long").alias("area"))
 
 
+def component_count(region: DataFrame) -> DataFrame:
+    """``(grp, components)``: parts of each group's region that share no edge; boxes that meet in a corner only are apart."""
+    boxes = region.withColumn("id", F.monotonically_increasing_id())
+    boxes = staged(boxes, "region")
+    edges = candidates(boxes, None, 0, ["grp"]).where(F.greatest(overlap("x"), overlap("y")) > 0)
+    parts = labelled(boxes, edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), label="part")
+    return parts.groupBy("grp").agg(F.count_distinct("part").alias("components"))
+
+
 def interacting(a: DataFrame, b: DataFrame) -> DataFrame:
     """Boxes of ``a(id, ...)`` of whose merged shape some part overlaps a box of ``b`` in area."""
     edges = candidates(a).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))

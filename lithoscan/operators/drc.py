@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stage import staged
 from .graph import labelled
-from .spatial import candidates, distance2, gap, isqrt, overlap, touching
+from .spatial import candidates, distance2, gap, isqrt, overlap, tiled, touching
 
 COLUMNS = ["rule_id", "kind", "layer", "measured", "limit", "x", "y"]
 
@@ -83,8 +84,7 @@ def facing_gaps(edges: DataFrame, interior: bool) -> DataFrame:
         out = g if out is None else out.union(g)
     up = edges.where(F.col("x0") == F.col("x1")).select(F.col("id").alias("eid"), (2 * F.col("x0")).alias("ex"), F.least(2 * F.col("y0"), 2 * F.col("y1")).alias("ey0"), F.greatest(2 * F.col("y0"), 2 * F.col("y1")).alias("ey1"))
     crossing = (F.col("id") == F.col("eid")) & (F.col("ex") > F.col("x2")) & (F.col("ey0") <= F.col("y2")) & (F.col("y2") < F.col("ey1"))
-    keyed = out.withColumn("__k", F.xxhash64("id", "gap", "x2", "y2"))
-    inside = keyed.join(up, crossing, "left").groupBy("id", "layer", "gap", "x2", "y2").agg(F.count("eid").alias("n"))
+    inside = out.join(up, crossing, "left").groupBy("id", "layer", "gap", "x2", "y2").agg(F.count("eid").alias("n"))
     return inside.where(F.col("n") % 2 == (1 if interior else 0)).select("id", "layer", "gap", F.expr("x2 div 2").alias("x"), F.expr("y2 div 2").alias("y"))
 
 
@@ -130,18 +130,21 @@ def merge_groups(rects: DataFrame) -> DataFrame:
 def union_areas(rects: DataFrame, by: str = "grp") -> DataFrame:
     """Exact area of the union of boxes for each value of ``by``: slabs between successive x, and covered y within each.
 
-    A slab's boxes are merged by a running maximum over their lower ends; work
-    is by (group, slab), so a large group is many tasks' work.
+    Boxes are first cut at the borders of tiles of about sixteen boxes' size, so
+    slabs are local and the work is by (group, tile): a chip-wide group is many
+    tasks' work. A slab's boxes are merged by a running maximum over their lower ends.
     """
     from pyspark.sql import Window as W
 
-    xs = rects.select(by, F.col("x0").alias("x")).union(rects.select(by, F.col("x1").alias("x"))).distinct()
-    slabs = xs.withColumn("nx", F.lead("x").over(W.partitionBy(by).orderBy("x"))).where("nx is not null")
-    slabs = slabs.withColumnRenamed(by, "__g")
-    # slabs of the same group only; a box meets each slab between its own sides
-    cut = rects.join(slabs, (F.col(by) == F.col("__g")) & (F.col("x0") <= F.col("x")) & (F.col("nx") <= F.col("x1"))).select(by, "x", "nx", "y0", "y1")
-    w = W.partitionBy(by, "x").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1)
-    covered = cut.withColumn("top", F.coalesce(F.max("y1").over(w), F.col("y0")))
+    cut = tiled(rects.select(by, "x0", "y0", "x1", "y1"))
+    keys = [by, "tx", "ty"]
+    xs = cut.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    slabs = xs.withColumn("nx", F.lead("x").over(W.partitionBy(*keys).orderBy("x"))).where("nx is not null").withColumnsRenamed({k: f"__{k}" for k in keys})
+    # slabs of the same group and tile only; a box meets each slab between its own sides
+    same = (F.col(by) == F.col(f"__{by}")) & (F.col("tx") == F.col("__tx")) & (F.col("ty") == F.col("__ty"))
+    pieces = cut.join(slabs, same & (F.col("x0") <= F.col("x")) & (F.col("nx") <= F.col("x1"))).select(*keys, "x", "nx", "y0", "y1")
+    w = W.partitionBy(*keys, "x").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1)
+    covered = pieces.withColumn("top", F.coalesce(F.max("y1").over(w), F.col("y0")))
     new = F.greatest(F.col("y1") - F.greatest("y0", "top"), F.lit(0)).cast("long") * (F.col("nx") - F.col("x"))
     return covered.groupBy(by).agg(F.sum(new).cast("long").alias("area"))
 
@@ -190,11 +193,19 @@ def min_spacing_diff(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
 
 
 def corner_to_corner(rects: DataFrame, least: int) -> DataFrame:
-    """Pairs apart on both axes whose nearest corners are nearer than ``least``; marked at a's nearest corner."""
-    found = candidates(rects, None, least, ["layer"]).where((gap("x") > 0) & (gap("y") > 0)).withColumn("d2", distance2()).where(F.col("d2") < least * least)
-    x = F.when(F.col("a_x1") < F.col("b_x0"), F.col("a_x1")).otherwise(F.col("a_x0"))
-    y = F.when(F.col("a_y1") < F.col("b_y0"), F.col("a_y1")).otherwise(F.col("a_y0"))
-    return violations(found, "corner_to_corner", least, isqrt(F.col("d2")), x, y, "a_layer")
+    """Pairs of different merged shapes that share no span on either axis and whose nearest corners are nearer than ``least``; marked at a's."""
+    found = candidates(rects, None, least, ["layer"]).where((overlap("x") <= 0) & (overlap("y") <= 0)).withColumn("d2", distance2()).where((F.col("d2") > 0) & (F.col("d2") < least * least))
+    x = F.when(F.col("a_x1") <= F.col("b_x0"), F.col("a_x1")).otherwise(F.col("a_x0"))
+    y = F.when(F.col("a_y1") <= F.col("b_y0"), F.col("a_y1")).otherwise(F.col("a_y0"))
+    return violations(_of_different_shapes(found, rects), "corner_to_corner", least, isqrt(F.col("d2")), x, y, "a_layer")
+
+
+def _of_different_shapes(pairs: DataFrame, rects: DataFrame) -> DataFrame:
+    """``pairs`` (a_*, b_*) without those whose boxes are parts of one merged shape."""
+    pairs = staged(pairs, "pairs")
+    groups = staged(merge_groups(rects).select(F.col("id").alias("gid"), "grp"), "groups")
+    ga, gb = groups.withColumnsRenamed({"gid": "ida", "grp": "ga"}), groups.withColumnsRenamed({"gid": "idb", "grp": "gb"})
+    return pairs.join(ga, F.col("a_id") == F.col("ida")).join(gb, F.col("b_id") == F.col("idb")).where("ga <> gb").select(*pairs.columns)
 
 
 def prl_spacing(rects: DataFrame, threshold: int, spacing: int) -> DataFrame:
@@ -211,24 +222,38 @@ def wide_spacing(rects: DataFrame, width: int, spacing: int) -> DataFrame:
     return violations(found, "wide_dependent_spacing", spacing, isqrt(F.col("d2")), "a_x1", "a_y0", "a_layer")
 
 
+def _box_edges(side: str) -> list[dict[str, Column]]:
+    """The edges of the box ``<side>_*`` counter-clockwise from its lower-left corner, as boxes, with start and outward direction."""
+    x0, y0, x1, y1 = (F.col(f"{side}_{c}") for c in ("x0", "y0", "x1", "y1"))
+    box = lambda a, b, c, d, sx, sy, nx, ny: {"x0": a, "y0": b, "x1": c, "y1": d, "sx": sx, "sy": sy, "nx": nx, "ny": ny}
+    return [box(x0, y0, x1, y0, x0, y0, 0, -1), box(x1, y0, x1, y1, x1, y0, 1, 0), box(x0, y1, x1, y1, x1, y1, 0, 1), box(x0, y0, x0, y1, x0, y1, -1, 0)]
+
+
+def _zone_hit(end: str, other: str, width: int, spacing: int) -> Column:
+    """The nearest ``struct(d2, k, x, y)`` of an edge of ``other`` in the zone before a short edge of ``end``, marked at the short edge's start; null without one."""
+    hits = []
+    for i, e in enumerate(_box_edges(end)):
+        length = e["x1"] - e["x0"] + e["y1"] - e["y0"]
+        zone = {"x0": e["x0"] + min(e["nx"], 0) * spacing, "x1": e["x1"] + max(e["nx"], 0) * spacing, "y0": e["y0"] + min(e["ny"], 0) * spacing, "y1": e["y1"] + max(e["ny"], 0) * spacing}
+        for j, o in enumerate(_box_edges(other)):
+            meets = (zone["x0"] <= o["x1"]) & (o["x0"] <= zone["x1"]) & (zone["y0"] <= o["y1"]) & (o["y0"] <= zone["y1"])
+            gx = F.greatest(e["x0"] - o["x1"], o["x0"] - e["x1"], F.lit(0)).cast("long")
+            gy = F.greatest(e["y0"] - o["y1"], o["y0"] - e["y1"], F.lit(0)).cast("long")
+            d2 = gx * gx + gy * gy
+            ok = (length > 0) & (length < width) & meets & (d2 > 0) & (d2 < spacing * spacing)
+            hits.append(F.when(ok, F.struct(d2.alias("d2"), F.lit(4 * i + j).alias("k"), e["sx"].cast("long").alias("x"), e["sy"].cast("long").alias("y"))))
+    return F.array_min(F.array_compact(F.array(*hits)))
+
+
 def eol_spacing(rects: DataFrame, width: int, spacing: int) -> DataFrame:
-    """Line ends shorter than ``width`` with another box in the zone of ``spacing`` before them; one row per pair, at the lower id's end first."""
-    ends = None
-    for name, x0, y0, x1, y1, length in (
-        ("left", F.col("x0") - spacing, F.col("y0"), F.col("x0"), F.col("y1"), F.col("y1") - F.col("y0")),
-        ("right", F.col("x1"), F.col("y0"), F.col("x1") + spacing, F.col("y1"), F.col("y1") - F.col("y0")),
-        ("down", F.col("x0"), F.col("y0") - spacing, F.col("x1"), F.col("y0"), F.col("x1") - F.col("x0")),
-        ("up", F.col("x0"), F.col("y1"), F.col("x1"), F.col("y1") + spacing, F.col("x1") - F.col("x0")),
-    ):
-        e = rects.where(length < width).select("id", "layer", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.lit(name).alias("end"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-        ends = e if ends is None else ends.union(e)
-    hit = candidates(ends, rects, 0, ["layer"]).where("a_id <> b_id")
-    gx = F.greatest(F.col("a_bx0") - F.col("b_x1"), F.col("b_x0") - F.col("a_bx1"), F.lit(0)).cast("long")
-    gy = F.greatest(F.col("a_by0") - F.col("b_y1"), F.col("b_y0") - F.col("a_by1"), F.lit(0)).cast("long")
-    hit = hit.withColumn("d2", gx * gx + gy * gy).where((F.col("d2") > 0) & (F.col("d2") < spacing * spacing))
-    pair = [F.least("a_id", "b_id").alias("p"), F.greatest("a_id", "b_id").alias("q")]
-    first = hit.groupBy(*pair, F.col("a_layer").alias("layer")).agg(F.min("d2").alias("d2"), F.min(F.struct("a_id", "a_bx0", "a_by0")).alias("m"))
-    return violations(first, "eol_spacing", spacing, isqrt(F.col("d2")), F.col("m.a_bx0"), F.col("m.a_by0"))
+    """Pairs of different merged shapes of which an edge shorter than ``width`` has an edge of the other in the zone of ``spacing`` before it.
+
+    One row a pair: the nearest such edge of the first box, or else of the second one; measured is the distance of
+    the two edges, the mark is where the short one starts, counter-clockwise.
+    """
+    found = candidates(rects, None, spacing, ["layer"]).withColumn("d2", distance2()).where((F.col("d2") > 0) & (F.col("d2") < spacing * spacing))
+    found = found.withColumn("hit", F.coalesce(_zone_hit("a", "b", width, spacing), _zone_hit("b", "a", width, spacing))).where("hit is not null")
+    return violations(_of_different_shapes(found, rects), "eol_spacing", spacing, isqrt(F.col("hit.d2")), F.col("hit.x"), F.col("hit.y"), "a_layer")
 
 
 def _inset(side: str) -> Column:
@@ -244,28 +269,52 @@ def min_enclosure(inner: DataFrame, outer: DataFrame, least: int) -> DataFrame:
 
 
 def asymmetric_enclosure(inner: DataFrame, outer: DataFrame, least: int) -> DataFrame:
-    """Inner boxes without a host that leaves ``least`` on one side of each axis; measured is the best host's lesser of both."""
+    """Inner boxes without a host that has them strictly inside and leaves ``least`` on one side of each axis; measured is the best host's lesser of both."""
     both = F.least(F.greatest(_inset("l"), _inset("r")), F.greatest(_inset("b"), _inset("t")))
-    inside = F.least(*[_inset(s) for s in "lrbt"]) >= 0
+    inside = F.least(*[_inset(s) for s in "lrbt"]) > 0
     best = candidates(inner, outer).where(inside).groupBy(F.col("a_id").alias("hid")).agg(F.max(both).alias("best"))
     found = inner.join(best, F.col("id") == F.col("hid"), "left").withColumn("best", F.coalesce("best", F.lit(0))).where(F.col("best") < least)
     return violations(found, "asymmetric_enclosure", least, F.col("best"), "x0", "y0")
 
 
 def min_extension(a: DataFrame, ref: DataFrame, least: int) -> DataFrame:
-    """How far a box that crosses another one reaches beyond it, one row for each side below ``least``: bottom and top of boxes at least as tall as wide, else left and right."""
+    """How far a box that crosses another one reaches beyond it, one row for each side below ``least``: bottom and top of boxes at least as tall as wide, else left and right.
+
+    Marked at the box's left or lower side, on the side of the other box that it is measured from.
+    """
     tall = (F.col("a_y1") - F.col("a_y0")) >= (F.col("a_x1") - F.col("a_x0"))
-    low = F.when(tall, F.col("b_y0") - F.col("a_y0")).otherwise(F.col("b_x0") - F.col("a_x0"))
-    high = F.when(tall, F.col("a_y1") - F.col("b_y1")).otherwise(F.col("a_x1") - F.col("b_x1"))
-    sides = candidates(a, ref).select("a_layer", "a_x0", "a_y0", F.explode(F.array(low, high)).alias("past")).where(F.col("past") < least)
-    return violations(sides, "min_extension", least, F.col("past"), "a_x0", "a_y0", "a_layer")
+    side = lambda past, x, y: F.struct(past.cast("long").alias("past"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    ax, ay, bx0, by0, bx1, by1 = (F.col(c) for c in ("a_x0", "a_y0", "b_x0", "b_y0", "b_x1", "b_y1"))
+    upright = F.array(side(by0 - ay, ax, by0), side(F.col("a_y1") - by1, ax, by1))
+    flat = F.array(side(bx0 - ax, bx0, ay), side(F.col("a_x1") - bx1, bx1, ay))
+    sides = candidates(a, ref).select("a_layer", F.explode(F.when(tall, upright).otherwise(flat)).alias("s")).where(F.col("s.past") < least)
+    return violations(sides, "min_extension", least, F.col("s.past"), F.col("s.x"), F.col("s.y"), "a_layer")
 
 
 def overlap_rect(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
-    """Boxes of a whose best overlap with one of b is narrower than ``least`` both ways taken; without any, no row."""
-    inner = F.least(overlap("x"), overlap("y"))
-    best = candidates(a, b).where(inner > 0).groupBy("a_id", "a_layer", "a_x0", "a_y0").agg(F.max(inner).alias("best")).where(F.col("best") < least)
-    return violations(best, "overlap", least, F.col("best"), "a_x0", "a_y0", "a_layer")
+    """Boxes of a whose best overlap with the union of b is narrower than ``least`` both ways taken.
+
+    The parts of a box that b covers are merged where they share an edge or an
+    area; the best of those counts, and a box that b doesn't cover at all has 0.
+    A merged part that isn't a box can't be measured: ``overlap_geometry_error``, -1.
+    """
+    low, high = (lambda c: F.greatest(f"a_{c}", f"b_{c}").alias(c)), (lambda c: F.least(f"a_{c}", f"b_{c}").alias(c))
+    cut = candidates(a, b).where((overlap("x") > 0) & (overlap("y") > 0))
+    cut = cut.select(F.xxhash64("a_id", "b_id").alias("id"), F.col("a_id").alias("own"), low("x0"), low("y0"), high("x1"), high("y1"))
+    cut = staged(cut, "overlaps")
+    met = candidates(cut, None, 0, ["own"]).where((F.greatest(overlap("x"), overlap("y")) > 0)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    parts = staged(labelled(cut, met), "overlap-parts")
+    whole = parts.groupBy("grp").agg(F.first("own").alias("own"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")]).join(union_areas(parts), "grp")
+    best = whole.groupBy(F.col("own").alias("hid")).agg(F.max(_narrow()).alias("best"), F.bool_or(F.col("area") != area()).alias("odd"))
+    found = a.join(best, F.col("id") == F.col("hid"), "left").withColumn("best", F.when(F.col("odd"), -1).otherwise(F.coalesce("best", F.lit(0)))).where(F.col("best") < least)
+    name = F.concat(F.col("layer").cast("string"), F.lit(":"), F.lit(_layer_name(b)))
+    return violations(found, F.when(F.col("odd"), "overlap_geometry_error").otherwise("overlap"), least, F.col("best"), "x0", "y0", name, "overlap")
+
+
+def _layer_name(t: DataFrame) -> str:
+    """The layer of a table of one layer; empty where it has no row."""
+    first = t.select(F.col("layer").cast("string").alias("layer")).head(1)
+    return first[0]["layer"] if first else ""
 
 
 def _centred(t: DataFrame) -> DataFrame:

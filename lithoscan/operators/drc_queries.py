@@ -32,6 +32,10 @@ GROUPS = f"""t AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.layer = b.
 reach AS (SELECT id, id AS other FROM r UNION SELECT reach.id, t.b FROM reach JOIN t ON reach.other = t.a),
 g AS (SELECT id, min(other) AS grp FROM reach GROUP BY id) """
 
+#: Corners of a box in their order, and its edges as boxes with the corner that each starts at.
+CORNERS = "corner AS (SELECT id, 0 AS k, x0 AS x, y0 AS y FROM r UNION ALL SELECT id, 1, x1, y0 FROM r UNION ALL SELECT id, 2, x1, y1 FROM r UNION ALL SELECT id, 3, x0, y1 FROM r), "
+SIDES = "side AS (SELECT id, 0 AS k, x0, y0, x1, y0 AS y1, x0 AS sx, y0 AS sy FROM r UNION ALL SELECT id, 1, x1, y0, x1, y1, x1, y0 FROM r UNION ALL SELECT id, 2, x0, y1, x1, y1, x1, y1 FROM r UNION ALL SELECT id, 3, x0, y0, x0, y1, x0, y1 FROM r), "
+
 GRID, EDGE, WIDE, NARROW, SPACE, PRL, WIDTH = 5, 40, 150, 90, 100, 100, 120
 WINDOW, STEP, LOW, HIGH, STEEP = 2000, 1000, 30_000, 120_000, 60_000
 
@@ -130,24 +134,41 @@ q AS (SELECT p.*, ga.grp = gb.grp AS same,
 {_row("CASE WHEN same THEN 'notch' ELSE 'min_spacing' END", 'layer', _root('d2'), SPACE, 'ax1', 'ay0', 'min_spacing')} FROM q
 WHERE NOT (same AND EXISTS (SELECT 1 FROM r c WHERE c.layer = q.layer AND c.id <> a_id AND c.id <> b_id AND c.x0 <= hx0 AND c.x1 >= hx1 AND c.y0 <= hy0 AND c.y1 >= hy1))""",
     "min_spacing_diff": f"{WITH} {_row('min_spacing_diff', chr(39) + '0:1' + chr(39), _root(D2), SPACE, 'a.x1', 'a.y0')} FROM r a JOIN r b ON a.layer = 0 AND b.layer = 1 AND {D2} > 0 AND {D2} < {SPACE * SPACE}",
-    "corner_to_corner": f"{WITH} {_row('corner_to_corner', 'layer', _root('d2'), SPACE, 'CASE WHEN ax1 < bx0 THEN ax1 ELSE ax0 END', 'CASE WHEN ay1 < by0 THEN ay1 ELSE ay0 END')} FROM {_pairs(SPACE, f'{GX} > 0 AND {GY} > 0 AND {D2} < {SPACE * SPACE}')}",
+    "corner_to_corner": f"""{WITH}, {GROUPS}, p AS (SELECT * FROM {_pairs(SPACE, f'{D2} > 0 AND {D2} < {SPACE * SPACE}')}),
+c AS (SELECT p.*, i.x AS cx, i.y AS cy, (i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y) AS v2, row_number() OVER (PARTITION BY a_id, b_id ORDER BY (i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y), i.k, j.k) AS rn
+  FROM p JOIN corner i ON i.id = a_id JOIN corner j ON j.id = b_id JOIN g ga ON ga.id = a_id JOIN g gb ON gb.id = b_id
+  WHERE ga.grp <> gb.grp AND NOT least(ax1, bx1) > greatest(ax0, bx0) AND NOT least(ay1, by1) > greatest(ay0, by0))
+{_row('corner_to_corner', 'layer', _root('v2'), SPACE, 'cx', 'cy')} FROM c WHERE rn = 1 AND v2 < {SPACE * SPACE}""".replace(GROUPS, CORNERS + GROUPS),
     "prl_spacing": f"{WITH} {_row('prl_spacing', 'layer', _root('d2'), SPACE, 'ax1', 'ay0')} FROM {_pairs(SPACE, f'{D2} > 0 AND {D2} < {SPACE * SPACE} AND greatest({OX}, {OY}) >= {PRL}')}",
     "wide_spacing": f"{WITH} {_row('wide_dependent_spacing', 'layer', _root('d2'), SPACE, 'ax1', 'ay0')} FROM {_pairs(SPACE, f'{D2} > 0 AND {D2} < {SPACE * SPACE} AND (least(a.x1 - a.x0, a.y1 - a.y0) >= {WIDTH} OR least(b.x1 - b.x0, b.y1 - b.y0) >= {WIDTH})')}",
-    "eol_spacing": f"""{WITH}, ends AS (SELECT id, layer, x0 - {SPACE} AS x0, y0, x0 AS x1, y1, x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1 FROM r WHERE y1 - y0 < {NARROW}
-UNION ALL SELECT id, layer, x1, y0, x1 + {SPACE}, y1, x0, y0, x1, y1 FROM r WHERE y1 - y0 < {NARROW}
-UNION ALL SELECT id, layer, x0, y0 - {SPACE}, x1, y0, x0, y0, x1, y1 FROM r WHERE x1 - x0 < {NARROW}
-UNION ALL SELECT id, layer, x0, y1, x1, y1 + {SPACE}, x0, y0, x1, y1 FROM r WHERE x1 - x0 < {NARROW}),
-h AS (SELECT least(a.id, b.id) AS p, greatest(a.id, b.id) AS q, a.layer, a.id AS aid, a.bx0, a.by0,
-  greatest(a.bx0 - b.x1, b.x0 - a.bx1, 0) * greatest(a.bx0 - b.x1, b.x0 - a.bx1, 0) + greatest(a.by0 - b.y1, b.y0 - a.by1, 0) * greatest(a.by0 - b.y1, b.y0 - a.by1, 0) AS d2
-  FROM ends a JOIN r b ON a.layer = b.layer AND a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
-m AS (SELECT p, q, layer, min(d2) AS d2, arg_min(bx0, aid) AS bx0, arg_min(by0, aid) AS by0 FROM h WHERE d2 > 0 AND d2 < {SPACE * SPACE} GROUP BY p, q, layer)
-{_row('eol_spacing', 'layer', _root('d2'), SPACE, 'bx0', 'by0')} FROM m""",
+    "eol_spacing": f"""{WITH}, {SIDES}{GROUPS}, p AS (SELECT * FROM {_pairs(SPACE, f'{D2} > 0 AND {D2} < {SPACE * SPACE}')}),
+q AS (SELECT a_id, b_id, layer FROM p JOIN g ga ON ga.id = a_id JOIN g gb ON gb.id = b_id WHERE ga.grp <> gb.grp),
+z AS (SELECT 0 AS turn, a_id AS e, b_id AS o, * FROM q UNION ALL SELECT 1, b_id, a_id, * FROM q),
+h AS (SELECT a_id, b_id, layer, turn, i.k AS ik, j.k AS jk, i.sx, i.sy, power(greatest(i.x0 - j.x1, j.x0 - i.x1, 0), 2) + power(greatest(i.y0 - j.y1, j.y0 - i.y1, 0), 2) AS v2
+  FROM z JOIN side i ON i.id = e JOIN side j ON j.id = o
+  WHERE i.x1 - i.x0 + i.y1 - i.y0 < {NARROW}
+    AND i.x0 + CASE WHEN i.k = 3 THEN -{SPACE} ELSE 0 END <= j.x1 AND j.x0 <= i.x1 + CASE WHEN i.k = 1 THEN {SPACE} ELSE 0 END
+    AND i.y0 + CASE WHEN i.k = 0 THEN -{SPACE} ELSE 0 END <= j.y1 AND j.y0 <= i.y1 + CASE WHEN i.k = 2 THEN {SPACE} ELSE 0 END),
+m AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY turn, v2, ik, jk) AS rn FROM h WHERE v2 > 0 AND v2 < {SPACE * SPACE})
+{_row('eol_spacing', 'layer', _root('v2'), SPACE, 'sx', 'sy')} FROM m WHERE rn = 1""",
     "min_enclosure_rect": f"{WITH}, m AS (SELECT a.id, a.layer, a.x0, a.y0, coalesce(max({_IN}), 0) AS best FROM v a LEFT JOIN r b ON b.x0 < a.x0 AND b.x1 > a.x1 AND b.y0 < a.y0 AND b.y1 > a.y1 GROUP BY ALL) {_row('min_enclosure', 'layer', 'best', 15, 'x0', 'y0')} FROM m WHERE best < 15",
-    "asymmetric_enclosure": f"{WITH}, m AS (SELECT a.id, a.layer, a.x0, a.y0, coalesce(max(least(greatest(a.x0 - b.x0, b.x1 - a.x1), greatest(a.y0 - b.y0, b.y1 - a.y1))), 0) AS best FROM v a LEFT JOIN r b ON b.x0 <= a.x0 AND b.x1 >= a.x1 AND b.y0 <= a.y0 AND b.y1 >= a.y1 GROUP BY ALL) {_row('asymmetric_enclosure', 'layer', 'best', 60, 'x0', 'y0')} FROM m WHERE best < 60",
-    "min_extension": f"""{WITH}, m AS (SELECT a.layer, a.x0, a.y0, CASE WHEN a.y1 - a.y0 >= a.x1 - a.x0 THEN b.y0 - a.y0 ELSE b.x0 - a.x0 END AS lo, CASE WHEN a.y1 - a.y0 >= a.x1 - a.x0 THEN a.y1 - b.y1 ELSE a.x1 - b.x1 END AS hi
-FROM r a JOIN r b ON a.layer = 2 AND b.layer = 3 AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)
-{_row('min_extension', 'layer', 'lo', 50, 'x0', 'y0')} FROM m WHERE lo < 50 UNION ALL {_row('min_extension', 'layer', 'hi', 50, 'x0', 'y0')} FROM m WHERE hi < 50""",
-    "overlap_rect": f"{WITH}, m AS (SELECT a.id, a.layer, a.x0, a.y0, max(least({OX}, {OY})) AS best FROM r a JOIN r b ON a.layer = 0 AND b.layer = 1 AND {OX} > 0 AND {OY} > 0 GROUP BY ALL) {_row('overlap', 'layer', 'best', 50, 'x0', 'y0')} FROM m WHERE best < 50",
+    "asymmetric_enclosure": f"{WITH}, m AS (SELECT a.id, a.layer, a.x0, a.y0, coalesce(max(least(greatest(a.x0 - b.x0, b.x1 - a.x1), greatest(a.y0 - b.y0, b.y1 - a.y1))), 0) AS best FROM v a LEFT JOIN r b ON b.x0 < a.x0 AND b.x1 > a.x1 AND b.y0 < a.y0 AND b.y1 > a.y1 GROUP BY ALL) {_row('asymmetric_enclosure', 'layer', 'best', 60, 'x0', 'y0')} FROM m WHERE best < 60",
+    "min_extension": f"""{WITH}, c AS (SELECT a.layer, a.y1 - a.y0 >= a.x1 - a.x0 AS tall, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1
+  FROM r a JOIN r b ON a.layer = 2 AND b.layer = 3 AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+m AS (SELECT layer, by0 - ay0 AS ext, ax0 AS x, by0 AS y FROM c WHERE tall UNION ALL SELECT layer, ay1 - by1, ax0, by1 FROM c WHERE tall
+  UNION ALL SELECT layer, bx0 - ax0, bx0, ay0 FROM c WHERE NOT tall UNION ALL SELECT layer, ax1 - bx1, bx1, ay0 FROM c WHERE NOT tall)
+{_row('min_extension', 'layer', 'ext', 50, 'x', 'y')} FROM m WHERE ext < 50""",
+    # what b covers of a box is a set of unit-free strips: slabs of x, merged runs of y, joined along slabs
+    "overlap_rect": f"""{WITH}, c AS (SELECT row_number() OVER () AS id, a.id AS own, greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1
+  FROM r a JOIN r b ON a.layer = 0 AND b.layer = 1 AND {OX} > 0 AND {OY} > 0),
+t AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.own = b.own AND a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND ({OX} > 0 OR {OY} > 0)),
+reach AS (SELECT id, id AS other FROM c UNION SELECT reach.id, t.b FROM reach JOIN t ON reach.other = t.a),
+g AS (SELECT id, min(other) AS grp FROM reach GROUP BY id),
+{_UNION.replace('r JOIN g', 'c JOIN g').replace('JOIN r ON', 'JOIN c r ON')},
+w AS (SELECT grp, any_value(own) AS own, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c JOIN g USING (id) GROUP BY grp),
+m AS (SELECT own, max(least(x1 - x0, y1 - y0)) AS best, bool_or(area <> (x1 - x0) * (y1 - y0)) AS odd FROM w JOIN area USING (grp) GROUP BY own),
+f AS (SELECT r.*, CASE WHEN odd THEN -1 ELSE coalesce(best, 0) END AS best, coalesce(odd, FALSE) AS odd FROM r LEFT JOIN m ON r.id = m.own WHERE r.layer = 0)
+{_row("CASE WHEN odd THEN 'overlap_geometry_error' ELSE 'overlap' END", chr(39) + '0:1' + chr(39), 'best', 50, 'x0', 'y0', 'overlap')} FROM f WHERE best < 50""",
     "redundant_via": f"{WITH}, c AS (SELECT *, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM v), m AS (SELECT a.id, a.layer, a.x0, a.y0, count(*) AS n FROM c a JOIN c b ON (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 250000 GROUP BY ALL) {_row('redundant_via', 'layer', 'n', 3, 'x0', 'y0')} FROM m WHERE n < 3",
     "via_array": f"""{WITH}, t AS (SELECT a.id AS a, b.id AS b, {D2} AS d2, a.x0, a.y0 FROM v a JOIN v b ON a.id <> b.id AND {D2} > 0 AND {D2} <= 40000),
 reach AS (SELECT id, id AS other FROM v UNION SELECT reach.id, t.b FROM reach JOIN t ON reach.other = t.a),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.stage import staged
 from .spatial import candidates, overlap
 
 BOLTZMANN = 8.617333262e-5
@@ -38,11 +39,13 @@ def missing_tie(diffs: DataFrame, pads: DataFrame, most: int) -> DataFrame:
     """Channels of at least ``most`` squared with a corner farther than ``most`` from the centre of every pad that touches them; the first such corner of LL, LR, UR, UL."""
     big = diffs.where((F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0")) >= most * most)
     cx, cy = F.expr("(b_x0 + b_x1) div 2"), F.expr("(b_y0 + b_y1) div 2")
-    touching = candidates(big, pads).groupBy(F.col("a_id").alias("hid")).agg(F.collect_list(F.struct(cx.alias("x"), cy.alias("y"))).alias("pads"))
-    corners = F.array(*[F.struct(F.lit(k).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))])
-    far = F.filter(corners, lambda c: ~F.exists(F.coalesce("pads", F.array().cast("array<struct<x:bigint,y:bigint>>")), lambda p: (p["x"] - c["x"]) * (p["x"] - c["x"]) + (p["y"] - c["y"]) * (p["y"] - c["y"]) <= most * most))
-    found = big.join(touching, F.col("id") == F.col("hid"), "left").withColumn("far", far).where(F.size("far") > 0)
-    return findings(found, "missing_tie", F.col("id"), F.get("far", F.lit(0))["x"], F.get("far", F.lit(0))["y"])
+    corners = (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))
+    d2 = lambda x, y: (cx - F.col(f"a_{x}")) * (cx - F.col(f"a_{x}")) + (cy - F.col(f"a_{y}")) * (cy - F.col(f"a_{y}"))
+    nearest = candidates(big, pads).groupBy(F.col("a_id").alias("hid")).agg(*[F.min(d2(x, y)).alias(f"d{k}") for k, (x, y) in enumerate(corners)])
+    # the first corner without a pad near enough; a channel without pads has none at its first
+    far = F.coalesce(*[F.when(F.coalesce(F.col(f"d{k}") > most * most, F.lit(True)), F.struct(F.col(x).alias("x"), F.col(y).alias("y"))) for k, (x, y) in enumerate(corners)])
+    found = big.join(nearest, F.col("id") == F.col("hid"), "left").withColumn("far", far).where("far is not null")
+    return findings(found, "missing_tie", F.col("id"), F.col("far.x"), F.col("far.y"))
 
 
 def multiple_drivers(devices: DataFrame) -> DataFrame:
@@ -68,14 +71,34 @@ def tie_high_low(devices: DataFrame) -> DataFrame:
 
 
 def soft_connection(pads: DataFrame, wells: DataFrame, metals: DataFrame) -> DataFrame:
-    """The first two pads ``(pa, pb)`` in one well that don't touch and have no metal box in common."""
-    inside = candidates(pads, wells).select(F.col("a_id").alias("pad"), F.col("b_id").alias("well"), *[F.col(f"a_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    a = inside.select("well", F.col("pad").alias("pa"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    b = inside.select(F.col("well").alias("wb"), F.col("pad").alias("pb"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    pairs = a.join(b, (F.col("well") == F.col("wb")) & (F.col("pa") < F.col("pb"))).where((overlap("x") < 0) | (overlap("y") < 0))
-    on = candidates(pads, metals).select(F.col("a_id").alias("pad"), F.col("b_id").alias("metal"))
-    common = on.withColumnRenamed("pad", "ca").join(on.select(F.col("pad").alias("cb"), "metal"), "metal").select("ca", "cb").distinct()
-    return pairs.join(common, (F.col("pa") == F.col("ca")) & (F.col("pb") == F.col("cb")), "left_anti").select("pa", "pb", "well").orderBy("pa", "pb", "well").limit(1)
+    """The first two pads ``(pa, pb, well)`` in one well that don't touch and have no metal box in common.
+
+    A well's pads are numbered by id; only the first pad that has such a partner
+    matters, so pads are compared with the well's others in order, a block of
+    first pads at a time, until a block has one: pairs are never all made where
+    the answer comes early. Eager.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    inside = candidates(pads, wells).select(F.col("a_id").alias("pad"), F.col("b_id").alias("well"), *[F.col(f"a_{c}").alias(c) for c in box])
+    inside = staged(inside, "pads-in-wells")
+    on = staged(candidates(pads, metals).select(F.col("a_id").alias("pad"), F.col("b_id").alias("metal")), "pads-on-metals")
+    out = inside.select(F.col("pad").alias("pa"), F.col("pad").alias("pb"), "well")
+    done, block = None, 64
+    while True:
+        left = inside if done is None else inside.where(F.col("pad") > done)
+        first = [r["pad"] for r in left.select("pad").distinct().orderBy("pad").limit(block).collect()]
+        if not first:
+            return out.limit(0)
+        a = inside.where(F.col("pad").isin(first)).select("well", F.col("pad").alias("pa"), *[F.col(c).alias(f"a_{c}") for c in box])
+        b = inside.select(F.col("well").alias("wb"), F.col("pad").alias("pb"), *[F.col(c).alias(f"b_{c}") for c in box])
+        pairs = a.join(b, (F.col("well") == F.col("wb")) & (F.col("pa") < F.col("pb"))).where((overlap("x") < 0) | (overlap("y") < 0))
+        mine = on.where(F.col("pad").isin(first)).select(F.col("pad").alias("ca"), "metal")
+        common = mine.join(on.select(F.col("pad").alias("cb"), "metal"), "metal").select("ca", "cb").distinct()
+        found = pairs.join(common, (F.col("pa") == F.col("ca")) & (F.col("pb") == F.col("cb")), "left_anti").select("pa", "pb", "well").orderBy("pa", "pb", "well").limit(1)
+        found = staged(found, "soft-connection")
+        if found.head(1):
+            return found
+        done, block = first[-1], min(block * 4, 4096)
 
 
 def unconnected_pin(nodes: DataFrame, device_nets: DataFrame, metals: list[int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
@@ -63,12 +63,21 @@ def closure(start: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFr
     raise RuntimeError("closure did not converge")
 
 
+def _multiset() -> list[Column]:
+    """Aggregates that tell multisets of (role, cls) apart: their number, and sums of two hashes of each."""
+    each = F.xxhash64("role", "cls")
+    other = F.xxhash64(F.lit("second"), "cls", "role")
+    return [F.count(F.lit(1)), *(F.sum(h.cast("decimal(20,0)")) for h in (each, other))]
+
+
 def refine(pins: DataFrame, seeds: DataFrame | None = None, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Joint partition refinement of ``pins(side, dev_id, kind, role, net)`` of two netlists.
 
     Devices and nets get classes by their neighbours' classes until the number
-    of classes stays; a class is a hash of the kind and the sorted multiset of
-    (role, neighbour's class), so equal hashes on both sides correspond.
+    of classes stays; a class is a hash of the kind and, over the neighbours, of
+    the number and two sums of hashes of (role, neighbour's class), so equal
+    classes on both sides correspond, and a net of any size is a partial
+    aggregation, never one row's list.
     ``seeds(side, net, name)`` gives nets a name of their own to begin with.
     Returns ``devices(side, dev_id, cls)`` and ``nets(side, net, cls)``. Classes
     travel one device a round; every round but the last adds a class, so there
@@ -87,10 +96,10 @@ def refine(pins: DataFrame, seeds: DataFrame | None = None, max_rounds: int | No
     for _ in range(max_rounds):
         with_net = pins.join(nets, ["side", "net"])
         devices = with_net.groupBy("side", "dev_id").agg(
-            F.xxhash64(F.first("kind"), F.sort_array(F.collect_list(F.struct("role", "cls")))).alias("cls")
+            F.xxhash64(F.first("kind"), *_multiset()).alias("cls")
         )
         devices = staged(devices, "devices")
-        seen = pins.join(devices, ["side", "dev_id"]).groupBy("side", "net").agg(F.sort_array(F.collect_list(F.struct("role", "cls"))).alias("around"))
+        seen = pins.join(devices, ["side", "dev_id"]).groupBy("side", "net").agg(F.xxhash64(*_multiset()).alias("around"))
         nets = staged(nets.join(seen, ["side", "net"]).select("side", "net", F.xxhash64("cls", "around").alias("cls")), "nets")
         now = devices.select("cls").union(nets.select("cls")).distinct().count()
         if now == count:

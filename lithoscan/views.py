@@ -48,9 +48,8 @@ EDGES = f"SELECT id, layer, ei, x AS x0, y AS y0, nx AS x1, ny AS y1 FROM ({EDGE
 DEVICES = """SELECT p_partkey AS dev_id, CASE WHEN p_size % 2 = 0 THEN 'nmos' ELSE 'pmos' END AS kind,
   2 * (p_partkey * 7 % h) AS g, p_partkey * p_partkey % n AS s, (p_partkey * 13 + p_size) % n AS d,
   100 + p_size % 4 * 50 AS w, 20 + p_size % 3 * 10 AS l
-FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, (SELECT COUNT(*) FROM part) / 3 * 0 + CAST(FLOOR((SELECT COUNT(*) FROM part) * 0.3) AS BIGINT) AS n,
+FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, CAST(FLOOR((SELECT COUNT(*) FROM part) * 0.3) AS BIGINT) AS n,
     CAST(FLOOR((SELECT COUNT(*) FROM part) * 0.15) AS BIGINT) AS h FROM part) p"""
-DEVICES = DEVICES.replace("(SELECT COUNT(*) FROM part) / 3 * 0 + ", "")
 
 #: A net label for each customer, at a point.
 TEXTS = """SELECT c_custkey AS text_id, CAST(c_custkey % 4 AS INT) AS layer, c_mktsegment AS text,
