@@ -64,40 +64,6 @@ def min_edge_length(edges: DataFrame, least: int) -> DataFrame:
     return violations(edges.where((d2 > 0) & (d2 < least * least)), "min_edge_length", least, isqrt(d2), "x0", "y0")
 
 
-def facing_gaps(edges: DataFrame, interior: bool) -> DataFrame:
-    """Opposite axis-parallel edges of one ring with a common span: ``id, layer, gap, x, y`` at the middle.
-
-    ``edges(id, layer, ei, x0, y0, x1, y1)`` run counter-clockwise. Edges face
-    each other over the inside or the outside; whether the middle of the gap is
-    there is decided by the parity of the ring's edges to its right.
-    """
-    out = None
-    for a, b in (("x", "y"), ("y", "x")):
-        e = edges.where(F.col(f"{a}0") == F.col(f"{a}1")).select("id", "layer", F.col(f"{a}0").alias("at"), F.least(f"{b}0", f"{b}1").alias("lo"), F.greatest(f"{b}0", f"{b}1").alias("hi"), (F.col(f"{b}1") > F.col(f"{b}0")).alias("up"))
-        # counter-clockwise: the inside is left of an upward, and above a rightward edge
-        first, second = (False, True) if (a == "x") == interior else (True, False)
-        p = e.where(F.col("up") == first).select("id", "layer", F.col("at").alias("at0"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
-        q = e.where(F.col("up") == second).select(F.col("id").alias("qid"), F.col("at").alias("at1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-        g = p.join(q, (F.col("id") == F.col("qid")) & (F.col("at1") > F.col("at0")) & (F.greatest("lo0", "lo1") < F.least("hi0", "hi1")))
-        mid_a, mid_b = F.col("at0") + F.col("at1"), F.greatest("lo0", "lo1") + F.least("hi0", "hi1")
-        g = g.select("id", "layer", (F.col("at1") - F.col("at0")).alias("gap"), (mid_a if a == "x" else mid_b).alias("x2"), (mid_b if a == "x" else mid_a).alias("y2"))
-        out = g if out is None else out.union(g)
-    up = edges.where(F.col("x0") == F.col("x1")).select(F.col("id").alias("eid"), (2 * F.col("x0")).alias("ex"), F.least(2 * F.col("y0"), 2 * F.col("y1")).alias("ey0"), F.greatest(2 * F.col("y0"), 2 * F.col("y1")).alias("ey1"))
-    crossing = (F.col("id") == F.col("eid")) & (F.col("ex") > F.col("x2")) & (F.col("ey0") <= F.col("y2")) & (F.col("y2") < F.col("ey1"))
-    inside = out.join(up, crossing, "left").groupBy("id", "layer", "gap", "x2", "y2").agg(F.count("eid").alias("n"))
-    return inside.where(F.col("n") % 2 == (1 if interior else 0)).select("id", "layer", "gap", F.expr("x2 div 2").alias("x"), F.expr("y2 div 2").alias("y"))
-
-
-def min_width(edges: DataFrame, least: int) -> DataFrame:
-    """Inside gaps of a ring below ``least``."""
-    return violations(facing_gaps(edges, True).where(F.col("gap") < least), "min_width", least, F.col("gap"), "x", "y")
-
-
-def notch(edges: DataFrame, least: int) -> DataFrame:
-    """Outside gaps of a ring with itself below ``least``."""
-    return violations(facing_gaps(edges, False).where(F.col("gap") < least), "notch", least, F.col("gap"), "x", "y")
-
-
 # --- one box -------------------------------------------------------------------
 
 

@@ -40,19 +40,6 @@ GRID, EDGE, WIDE, NARROW, SPACE, PRL, WIDTH = 5, 40, 150, 90, 100, 100, 120
 WINDOW, STEP, LOW, HIGH, STEEP = 2000, 1000, 30_000, 120_000, 60_000
 
 
-def _facing(inside: bool) -> str:
-    """Any two parallel edges of a ring with a common span whose middle is inside, or outside."""
-    return f"""e AS ({EDGES}), f AS (
-SELECT p.id, p.layer, q.x0 - p.x0 AS gap, p.x0 + q.x0 AS x2, greatest(least(p.y0, p.y1), least(q.y0, q.y1)) + least(greatest(p.y0, p.y1), greatest(q.y0, q.y1)) AS y2
-FROM e p JOIN e q ON p.id = q.id AND p.x0 = p.x1 AND q.x0 = q.x1 AND q.x0 > p.x0 AND (p.y1 > p.y0) = {'FALSE' if inside else 'TRUE'} AND (q.y1 > q.y0) = {'TRUE' if inside else 'FALSE'}
-  AND greatest(least(p.y0, p.y1), least(q.y0, q.y1)) < least(greatest(p.y0, p.y1), greatest(q.y0, q.y1))
-UNION ALL
-SELECT p.id, p.layer, q.y0 - p.y0, greatest(least(p.x0, p.x1), least(q.x0, q.x1)) + least(greatest(p.x0, p.x1), greatest(q.x0, q.x1)), p.y0 + q.y0
-FROM e p JOIN e q ON p.id = q.id AND p.y0 = p.y1 AND q.y0 = q.y1 AND q.y0 > p.y0 AND (p.x1 > p.x0) = {'TRUE' if inside else 'FALSE'} AND (q.x1 > q.x0) = {'FALSE' if inside else 'TRUE'}
-  AND greatest(least(p.x0, p.x1), least(q.x0, q.x1)) < least(greatest(p.x0, p.x1), greatest(q.x0, q.x1))),
-c AS (SELECT DISTINCT f.*, (SELECT count(*) FROM e WHERE e.id = f.id AND e.x0 = e.x1 AND 2 * e.x0 > f.x2 AND least(2 * e.y0, 2 * e.y1) <= f.y2 AND f.y2 < greatest(2 * e.y0, 2 * e.y1)) AS n FROM f)"""
-
-
 def _windows(step: int) -> str:
     return f"""box AS (SELECT layer, min(x0) AS lx, min(y0) AS ly, greatest(ceil((max(x1) - min(x0)) / {step}.0), 1) AS nx, greatest(ceil((max(y1) - min(y0)) / {step}.0), 1) AS ny FROM r GROUP BY layer),
 w AS (SELECT layer, wx, wy, lx + wx * {step} AS x, ly + wy * {step} AS y FROM (SELECT *, unnest(range(CAST(nx AS BIGINT))) AS wx FROM box) z, LATERAL (SELECT unnest(range(CAST(ny AS BIGINT))) AS wy) u),
@@ -75,8 +62,6 @@ QUERIES = {
     "off_grid": lambda s, d: drc.off_grid(vertices(s, d), GRID),
     "angle": lambda s, d: drc.angle(edges(s, d), [0]),
     "min_edge_length": lambda s, d: drc.min_edge_length(edges(s, d), EDGE),
-    "min_width": lambda s, d: drc.min_width(edges(s, d), EDGE),
-    "notch": lambda s, d: drc.notch(edges(s, d), WIDE),
     "max_width": lambda s, d: drc.max_width(rects(s, d), WIDE),
     "min_width_rect": lambda s, d: drc.min_width_rect(rects(s, d), NARROW),
     "cheesing": lambda s, d: drc.cheesing(rects(s, d), 40_000),
@@ -118,8 +103,6 @@ ORACLES = {
     "off_grid": f"WITH v AS ({VERTICES}) {_row('off_grid', 'layer', f'CASE WHEN x % {GRID} <> 0 THEN x ELSE y END', GRID, 'x', 'y')} FROM v WHERE x % {GRID} <> 0 OR y % {GRID} <> 0",
     "angle": f"WITH e AS ({EDGES}) {_row('angle', 'layer', '-1', 0, 'x0', 'y0')} FROM e WHERE x0 = x1 AND y0 <> y1",
     "min_edge_length": f"WITH e AS ({EDGES}) {_row('min_edge_length', 'layer', 'abs(x1 - x0) + abs(y1 - y0)', EDGE, 'x0', 'y0')} FROM e WHERE abs(x1 - x0) + abs(y1 - y0) BETWEEN 1 AND {EDGE - 1}",
-    "min_width": f"WITH {_facing(True)} {_row('min_width', 'layer', 'gap', EDGE, 'x2 // 2', 'y2 // 2')} FROM c WHERE n % 2 = 1 AND gap < {EDGE}",
-    "notch": f"WITH {_facing(False)} {_row('notch', 'layer', 'gap', WIDE, 'x2 // 2', 'y2 // 2')} FROM c WHERE n % 2 = 0 AND gap < {WIDE}",
     "max_width": f"{WITH} {_row('max_width', 'layer', 'least(x1 - x0, y1 - y0)', WIDE, 'x0', 'y0')} FROM r WHERE least(x1 - x0, y1 - y0) > {WIDE}",
     "min_width_rect": f"{WITH} {_row('min_width', 'layer', 'least(x1 - x0, y1 - y0)', NARROW, 'x0', 'y0')} FROM r WHERE least(x1 - x0, y1 - y0) < {NARROW}",
     "cheesing": f"{WITH} {_row('cheesing', 'layer', '(x1 - x0) * (y1 - y0)', 40000, 'x0', 'y0')} FROM r WHERE (x1 - x0) * (y1 - y0) > 40000",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stage import staged
+from ..plans.stage import discard, staged
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round hooks every node's larger neighbours to its least one and then
     shortens what hangs on leaves, two min-aggregations and joins by node. Rounds
     grow with the logarithm of the longest path and are staged, so lineage stays
-    flat. Self loops and nulls are ignored.
+    flat. Self loops and nulls are ignored; no edge gives an empty result. Eager:
+    runs the rounds.
     """
     e = staged(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
@@ -28,8 +29,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, F.col("a") == F.col("k")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         near = large.join(low, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = staged(near.union(low.select("k", "m")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-        now = _digest(e)
+        step = staged(near.union(low.select("k", "m")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+        discard(e)
+        e, now = step, _digest(step)
         if now == seen:
             break
         seen = now

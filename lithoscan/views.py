@@ -44,6 +44,12 @@ EDGES = f"""SELECT id, layer, k AS ei, {', '.join(_ring('k'))}, {', '.join(s.rep
 FROM ({RECTS}) b JOIN ({_CORNERS}) c ON k < {_N}"""
 EDGES = f"SELECT id, layer, ei, x AS x0, y AS y0, nx AS x1, ny AS y1 FROM ({EDGES}) e"
 
+#: The same rings as one array a polygon.
+RINGS = f"""SELECT id, layer, array_sort(collect_list(struct(vi, x, y))) AS ring FROM ({VERTICES}) v GROUP BY id, layer"""
+
+#: Every sixth box with a hole of its own: one walk around the box, along a slit and around the hole.
+KEYHOLES = f"""SELECT id, layer, x0, y0, x1, y1, x0 + 15 AS hx0, y0 + 15 AS hy0, x0 + 25 + id % 20 AS hx1, y0 + 30 + id % 17 AS hy1, x0 + 20 AS mx FROM ({RECTS}) b WHERE id % 6 = 0"""
+
 #: A transistor for each part: kind, gate (even nets only), source, drain, size.
 DEVICES = """SELECT p_partkey AS dev_id, CASE WHEN p_size % 2 = 0 THEN 'nmos' ELSE 'pmos' END AS kind,
   2 * (p_partkey * 7 % h) AS g, p_partkey * p_partkey % n AS s, (p_partkey * 13 + p_size) % n AS d,
