@@ -8,13 +8,16 @@ a lost executor costs a re-read, never a recomputation from the texts.
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.stage import discard
+from ..plans.stage import staged as materialize
+
+__all__ = ["discard", "materialize"]
+
 #: Rows per Arrow batch where whole texts cross to Python: 256 texts of 1 MB
 #: still fit in a worker's memory.
 TEXT_BATCH_ROWS = 256
@@ -24,42 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is set as the checkpoint folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lithoscan-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.split(":")[-1].lstrip("/").startswith(base.split(":")[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more, before a stage that needs the room."""
     gc.collect()
@@ -67,23 +34,30 @@ def release(spark: SparkSession) -> None:
 
 
 def small_text_batches(spark: SparkSession) -> None:
-    """Hold down the Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    """Hold down the Arrow batches that carry whole texts.
+
+    Plans read the setting when they run, so it stays; a smaller one, set by
+    the caller, is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_rank(df: DataFrame, keys: list[str], order: list[str], salts: int, name: str = "rank") -> DataFrame:
+def with_rank(df: DataFrame, keys: list[str], order: list[str], salts: int | Column, name: str = "rank") -> DataFrame:
     """Gapless rank from 0 within ``keys``, without one task per key.
 
-    Rows of a key are dealt to ``salts`` salts by a hash of ``order``; counts
-    per (key, salt) are prefix-summed (a table of keys x salts rows), and only
+    Rows of a key are dealt to ``salts`` salts, a number or a column that is the
+    same for all rows of a key, by a hash of ``order``; counts
+    per (key, salt) are prefix-summed (a row for each salt of a key), and only
     rows within one salt are sorted together. Ties take any order among
     themselves; ranks stay gapless. A null key is a key like any other.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), salts if isinstance(salts, Column) else F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*keys).orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select(

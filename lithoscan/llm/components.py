@@ -1,4 +1,4 @@
-"""Connected components and bucket-wise link search without emitting all pairs."""
+"""Bucket-wise link search without emitting all pairs, and the components of the links."""
 
 from __future__ import annotations
 
@@ -9,66 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from ..operators.graph import connected_components
 
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, root)`` for every node of ``edges(a, b)``; root: its component's smallest node.
-
-    Alternating large-star and small-star steps (each one min-aggregation and
-    one join on the node, both with partial aggregation and splittable by AQE)
-    until the edge set stops changing, O(log^2 n) rounds. Every round is written
-    to the shared folder, so lineage stays flat and a lost executor costs one
-    round at most. Eager: runs the rounds. Self loops and nulls are ignored; an
-    empty edge table gives an empty result.
-    """
-    e = materialize(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "cc",
-    )
-    state = _state(e)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = (
-            both.join(low, both["a"] == low["k"])
-            .where(F.col("b") > F.col("a"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        near = large.join(low, large["a"] == low["k"])
-        small = (
-            near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("k", "m"))
-            .distinct()
-        )
-        step = materialize(small, "cc")
-        discard(e)
-        e, before, state = step, state, _state(step)
-        if state == before and _is_star(e):
-            break
-    else:
-        raise RuntimeError("connected components did not converge")
-    roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(roots.select("root", "root").distinct())
-
-
-def _state(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-    return (r[0], r[1])
-
-
-def _is_star(e: DataFrame) -> bool:
-    """No node is both a leaf and a centre, and each leaf has one centre."""
-    twice = e.groupBy("a").count().where("count > 1").limit(1)
-    both = e.join(e.select(F.col("b").alias("c")).distinct(), F.col("a") == F.col("c"), "left_semi").limit(1)
-    return not twice.union(both.groupBy("a").count()).head(1)
+__all__ = ["connected_components", "link_buckets"]
 
 
 def link_buckets(
@@ -87,7 +30,8 @@ def link_buckets(
     forest of its true links, so a bucket of k rows gives fewer than k edges. A
     bucket of more than ``block`` rows is dealt to blocks by ``spread``; each
     pair of blocks is a task's work of its own, so no task holds more than two
-    blocks and no pair is missed. Where the payload comes by a join,
+    blocks and no pair is missed. A null in a key is a value like any other; no
+    row gives no edge; equal rows are linked like any two. Where the payload comes by a join,
     ``with_payload`` adds it after the buckets are counted. Eager only in that count.
     """
     heavy = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(f"__n > {block}")
