@@ -18,7 +18,7 @@ import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -33,7 +33,12 @@ END_ID = 0
 #: Words whose ids a worker remembers, at most twice as many: when so many are
 #: known they become the older half, and the older half goes. Never changes ids.
 REMEMBERED = 200_000
-SALTS = 32
+#: Steps of the search beyond best-fit decreasing, unless the caller gives others.
+NODES = 200_000
+#: Pieces of one length that are ranked in one task, about.
+RANKED = 250_000
+#: Runs up to which their table is broadcast; beyond, it is joined.
+BROADCAST_RUNS = 500_000
 
 # The pre-tokenizer's classes within Latin letters and common punctuation.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -104,11 +109,10 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     tokenizer's file on every executor. A null text is empty: one end id.
     """
     small_text_batches(docs.sparkSession)
-    path = path or tokenizer_path()
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared_ids(path)
+        ids = shared_ids(path or tokenizer_path())
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -177,80 +181,116 @@ def best_fit_decreasing(counts: dict[int, int], room: int) -> list[Pattern]:
     return done
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Up to ``most`` undominated fillings of ``room``, least waste first.
+def _add(sums: int, size: int, count: int, room: int) -> int:
+    """``sums``, where bit k stands for the sum k, with up to ``count`` pieces of ``size`` more, up to ``room``."""
+    mask, count, k = (1 << (room + 1)) - 1, min(count, room // size), 1
+    while count > 0:  # so many pieces are 1 + 2 + 4 + ... + the rest of them
+        k = min(k, count)
+        sums |= sums << (size * k) & mask
+        count, k = count - k, 2 * k
+    return sums
 
-    A filling is dominated if some of its pieces could be exchanged for one
-    available piece at least as long that still fits: that leaves shorter ones.
+
+def _spread(bits: int, by: int) -> int:
+    """``bits`` with every set bit k set at k..k + ``by``."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: Sequence[int], waste: int, spare: int) -> bool:
+    """Some of the filling's pieces could be exchanged for one at least as long that still fits.
+
+    Bit s of ``spare``: a piece of length s is left beside the filling's own.
+    Such an exchange leaves shorter pieces for the other sequences. One piece
+    may only go for a longer one, several also for one of their sum.
     """
-    found: list[tuple[int, ...]] = []
-    tried = 0
-
-    def grow(left: int, cap: int, chosen: list[int]) -> None:
-        nonlocal tried
-        at = bisect_right(sizes, min(left, cap)) - 1
-        maximal = True
-        while at >= 0 and tried < 40 * most and len(found) < most:
+    one, several = 0, 0  # sums of one piece, and of two or more
+    for s in filling:
+        several |= (one | several) << s
+        one |= 1 << s
+    if several & spare:
+        return True
+    return bool(waste and (_spread((one | several) << 1, waste - 1) | _spread(1 << 1, waste - 1)) & spare)
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` by pieces of ``counts``, by waste, up to ``most_waste``.
+
+    Lazy: sums that the pieces can make are bits of one integer for each prefix
+    of the sizes, so the descent, longest first, meets no dead end.
+    """
+    sizes = sorted(s for s, c in counts.items() if c and s <= room)
+    makes = [1]
+    for s in sizes:
+        makes.append(_add(makes[-1], s, counts[s], room))
+    plenty = sum(1 << s for s in sizes if counts[s] > room // s)
+
+    def grow(left: int, below: int, chosen: list[int], one: int, several: int) -> Iterator[tuple[int, ...]]:
+        if left == 0:
+            yield tuple(chosen)
+            return
+        for at in range(min(below, bisect_right(sizes, left)) - 1, -1, -1):
             s = sizes[at]
-            if counts[s] > chosen.count(s):
-                maximal = False
-                tried += 1
-                grow(left - s, s, [*chosen, s])
-                if len(chosen) >= 4:  # deeper levels take the longest that fits
-                    return
-            at -= 1
-        if maximal and not dominated(chosen, left):
-            found.append(tuple(chosen))
-
-    def dominated(chosen: list[int], waste: int) -> bool:
-        if len(chosen) > 6:
-            return False
-        for k in range(1, len(chosen) + 1):
-            for sub in set(itertools.combinations(chosen, k)):
-                low = sum(sub) + (k == 1)
-                at = bisect_left(sizes, low)
-                while at < len(sizes) and sizes[at] <= sum(sub) + waste:
-                    if counts[sizes[at]] > chosen.count(sizes[at]):
-                        return True
-                    at += 1
-        return False
-
-    grow(room, room, [])
-    return sorted(set(found), key=lambda f: (room - sum(f), len(f)))
-
-
-def bin_completion(counts: dict[int, int], room: int = LENGTH, nodes: int = 20_000, choices: int = 6) -> list[Pattern]:
+            used = chosen.count(s)
+            if used == counts[s] or not makes[at + 1] >> left & 1:
+                continue
+            rest = left - s
+            # what is left of this size and the shorter ones must make the rest
+            if not (makes[at] >> rest & 1 or (counts[s] - used > 1 and makes[at + 1] >> rest & 1)):
+                continue
+            more = several | (one | several) << s
+            if more & plenty:
+                continue  # several pieces make the sum of one that is left: dominated however it goes on
+            yield from grow(rest, at + 1, [*chosen, s], one | 1 << s, more)
+
+    top = room if most_waste is None else min(most_waste, room)
+    for waste in range(top + 1):
+        if makes[-1] >> (room - waste) & 1:
+            for found in grow(room - waste, len(sizes), [], 0, 0):
+                spare = sum(1 << s for s in sizes if counts[s] > found.count(s))
+                if not dominated(found, waste, spare):
+                    yield found
+
+
+def bin_completion(counts: dict[int, int], room: int = LENGTH, nodes: int | None = NODES) -> list[Pattern]:
     """Fillings with multiplicities that hold every piece, in as few bins as the search finds.
 
-    ``counts``: pieces of each length, none over ``room``. The result is optimal
-    where it meets :func:`lower_bound`; after ``nodes`` nodes the best so far
-    stands, at worst the best-fit solution.
+    ``counts``: pieces of each length, none over ``room``. Depth first: the
+    longest piece left is completed by each undominated filling, by waste, as
+    often as it goes and then ever less often; a branch ends where its waste
+    allows no better solution. Best-fit decreasing is the first incumbent. The
+    result has the fewest bins possible where it meets :func:`lower_bound` or
+    the search ends; ``nodes`` bounds the steps of a search that doesn't, after
+    which the best so far stands, and None lets it run to its end.
     """
     counts = {s: c for s, c in counts.items() if c}
     best = best_fit_decreasing(counts, room)
     n_best = sum(m for _, m in best)
     least, volume = lower_bound(counts, room), sum(s * c for s, c in counts.items())
     left, path = dict(counts), []  # path: pattern, multiplicity
+    bins = waste = 0
 
     def options() -> Iterator[Pattern]:
-        sizes = sorted(s for s, c in left.items() if c)
-        top = sizes[-1]
+        top = max(s for s, c in left.items() if c)
         left[top] -= 1
-        own = fillings(left, sizes if left[top] else sizes[:-1], room - top, choices)
+        own = dict(left)
         left[top] += 1
-        for f in own:
+        for f in fillings(own, room - top, (n_best - 1) * room - volume - waste):
             items = (top, *f)
-            need = Counter(items)
-            yield items, min(left[s] // k for s, k in need.items())
+            for times in range(min(left[s] // k for s, k in Counter(items).items()), 0, -1):
+                yield items, times
 
     def step(items: tuple[int, ...], times: int) -> None:
         for s, k in Counter(items).items():
             left[s] -= k * times
 
-    bins = waste = 0
     stack = [options()] if counts and n_best > least else []
-    while stack and nodes and n_best > least:
-        nodes -= 1
+    while stack and n_best > least and nodes != 0:
+        nodes = None if nodes is None else nodes - 1
         found = next(stack[-1], None)
         if found is None:
             stack.pop()
@@ -293,33 +333,38 @@ def runs(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, nodes: int | None = NODES) -> DataFrame:
     """Every piece of every row of ``docs`` with its sequence and offset.
 
-    Pieces as of :func:`pieces`; a full piece is a sequence of its own. Rows of
-    one doc_id, and a null doc_id, are packed like any other row. Pieces of a
-    length are ranked in salted parts, so a very common length is no single
-    task's work, and find their place by a broadcast of the runs: at most 64 per
-    pattern, and two patterns per length. An empty table gives an empty result;
-    other columns of ``docs`` are ignored. Eager up to the search.
+    Pieces as of :func:`pieces`; a full piece is a sequence of its own, numbered
+    after the others. Rows of one doc_id, and a null doc_id, are packed like any
+    other row. Shorter pieces of a length are ranked in as many salted parts as
+    their number asks for, so a very common length is no single task's work, and
+    find their place by a table of the runs, broadcast below ``BROADCAST_RUNS``. An empty table gives an empty
+    result; other columns of ``docs`` are ignored. Eager up to the search.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path, length), "pieces")
-    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    full = counts.pop(length, 0)
-    patterns = bin_completion(counts, length)
-    logging.getLogger(__name__).info("%d sequences for pieces shorter than %d, lower bound %d", sum(m for _, m in patterns), length, lower_bound(counts, length))
-    if full:
-        patterns = [*patterns, ((length,), full)]
-    where = spark.createDataFrame(runs(patterns), "size long, lo long, hi long, each long, base long, place long")
-    ranked = with_rank(cut, ["length"], ["doc_id", "piece"], SALTS)
+    counts = {r["length"]: r["count"] for r in cut.where(F.col("length") < length).groupBy("length").count().collect()}
+    patterns = bin_completion(counts, length, nodes)
+    short = sum(m for _, m in patterns)
+    logging.getLogger(__name__).info("%d sequences for pieces shorter than %d, lower bound %d", short, length, lower_bound(counts, length))
+    found = runs(patterns)
+    where = spark.createDataFrame(found, "size long, lo long, hi long, each long, base long, place long")
+    many = {n: -(-c // RANKED) for n, c in counts.items() if c > RANKED}
+    salts = F.lit(1)
+    if many:
+        salts = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for n, m in many.items() for v in (n, m)]), F.col("length")), salts)
+    ranked = with_rank(cut.where(F.col("length") < length), ["length"], ["doc_id", "piece"], salts)
     at = F.col("rank") - F.col("lo")
-    placed = ranked.join(F.broadcast(where), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    few = len(found) <= BROADCAST_RUNS
+    placed = ranked.join(F.broadcast(where) if few else where, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    whole = cut.where(F.col("length") == length)
     return placed.select(
         *cut.columns,
         (F.col("base") + F.expr("(rank - lo) div each")).alias("sequence_id"),
         (F.col("place") + at % F.col("each") * F.col("length")).alias("offset"),
-    )
+    ).union(whole.select(*cut.columns, (F.lit(short) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
