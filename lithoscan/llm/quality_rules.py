@@ -1,15 +1,19 @@
 """Quality rules: base statistics, then robust multivariate outliers.
 
 Statistics and estimates are DataFrame expressions only. A minimum covariance
-determinant estimate per language and source is found by concentration steps:
-start from medians and median absolute deviations, keep the half of the rows
-that lie nearest, re-estimate mean and covariance from these, and repeat. Rows
-far from their group's estimate, by Mahalanobis distance, are rejected.
+determinant estimate for each language and source: of the sets of ``CORE`` of a
+group's rows, the one whose covariance has the least determinant gives centre
+and covariance. It is sought from several starts (medians and quartiles, all
+rows, and a few rows drawn by seeded hashes): the rows that lie nearest give the
+next estimate, which never has a larger determinant, until the determinant
+stays; the least one of all starts counts. Rows far from their group's estimate,
+by Mahalanobis distance, are rejected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -23,9 +27,12 @@ GAP = "[\\x20\\x09-\\x0D]+"
 #: made from. ``SCALE``: what makes a covariance of that share consistent for
 #: normal rows of four dimensions. ``CUT``: the squared distance beyond which a
 #: row goes. ``LEAST_ROWS``: groups below it take their language's estimate, and
-#: such languages that of all rows. ``FLOOR``: the least standard deviation of
-#: each statistic, as most rows have no symbol and no repeated line at all.
-CORE, SCALE, CUT, LEAST_ROWS, STEPS = 0.75, 1.488, 40.0, 60, 3
+#: such languages that of all rows; 0 gives each group its own. ``STARTS``: drawn
+#: starts beside the two others, of ``DRAWN`` rows each. ``FLOOR``: the least
+#: standard deviation of each statistic, as most rows have no symbol and no
+#: repeated line at all; its square is part of every covariance, so determinants
+#: are never 0. ``STAYS``: the change of a determinant's logarithm that ends a search.
+CORE, SCALE, CUT, LEAST_ROWS, STARTS, DRAWN, STAYS = 0.75, 1.488, 40.0, 60, 2, 8, 1e-3
 FLOOR = {"z_length": 0.12, "z_symbols": 0.10, "z_lines": 0.15, "z_repeats": 0.10}
 NAMES = list(FLOOR)
 LEAST_WORDS, MOST_REPEATS = 50, 50
@@ -91,13 +98,12 @@ def _key(*names: str) -> Column:
     return F.concat_ws("\u0001", F.lit(str(len(names))), *[F.coalesce(F.col(n).cast("string"), F.lit("\u0002")) for n in names])
 
 
-def _with(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``small(key, ...)``, which has a row per key."""
-    few = small.count() <= BROADCAST_KEYS
+def _with(rows: DataFrame, small: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the columns of ``small(key, ...)``, broadcast where it has ``few`` rows."""
     return rows.join(F.broadcast(small) if few else small, "key")
 
 
-def _distance(square: bool = True) -> Column:
+def _distance() -> Column:
     """Squared Mahalanobis distance by forward substitution in the Cholesky factor l_*."""
     y: list[Column] = []
     for i, z in enumerate(NAMES):
@@ -108,71 +114,114 @@ def _distance(square: bool = True) -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _cholesky(moments: DataFrame) -> DataFrame:
-    """Cholesky factors of the covariances c_ij (j <= i), scaled and kept regular by ``FLOOR``."""
+PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """``(key, start, m_i, l_ij, log_det)`` of centres m_i and covariances c_ij (j <= i): the covariance, scaled and
+    with the squares of ``FLOOR`` added, as its Cholesky factor and the logarithm of its determinant."""
     d = moments
-    for i in range(4):
-        for j in range(i + 1):
-            v = F.col(f"c_{i}{j}") * SCALE + (F.lit(FLOOR[NAMES[i]] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                v = v - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            d = d.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l_{j}{j}"))
-    return d.select("key", *[f"m_{i}" for i in range(4)], *[f"l_{i}{j}" for i in range(4) for j in range(i + 1)])
+    for i, j in PAIRS:
+        v = F.col(f"c_{i}{j}") * SCALE + (F.lit(FLOOR[NAMES[i]] ** 2) if i == j else F.lit(0.0))
+        for k in range(j):
+            v = v - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+        d = d.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l_{j}{j}"))
+    log_det = sum((2 * F.log(F.col(f"l_{i}{i}")) for i in range(1, len(NAMES))), 2 * F.log(F.col("l_00")))
+    # rounded, so that the order in which tasks add up changes nothing
+    rounded = [F.round(c, 9).alias(c) for c in [*(f"m_{i}" for i in range(len(NAMES))), *(f"l_{i}{j}" for i, j in PAIRS)]]
+    return d.select("key", "start", *rounded, F.round(log_det, 9).alias("log_det"))
+
+
+def _moments(rows: DataFrame, start: Column) -> DataFrame:
+    """Centres and covariances of ``rows`` by key, each row as often as its ``weight``."""
+    w = F.col("weight")
+    sums = rows.groupBy("key", start.alias("start")).agg(
+        F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(f"s_{i}") for i, c in enumerate(NAMES)], *[F.sum(w * F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}{j}") for i, j in PAIRS]
+    )
+    mean = [F.col(f"s_{i}") / F.col("w") for i in range(len(NAMES))]
+    return sums.select("key", "start", *[m.alias(f"m_{i}") for i, m in enumerate(mean)], *[(F.col(f"s_{i}{j}") / F.col("w") - mean[i] * mean[j]).alias(f"c_{i}{j}") for i, j in PAIRS])
 
 
-def estimates(z: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(keys, parameters)``: the key of each (lang, source), and each key's centre and factor.
+def _starts(rows: DataFrame, starts: int) -> DataFrame:
+    """The estimates that the search begins with, as of :func:`_factored`, for each key of ``rows``."""
+    quart = rows.groupBy("key").agg(*[F.percentile(F.round(c, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in NAMES])
+    spread = lambda c: F.pow((F.get(c, F.lit(2)) - F.get(c, F.lit(0))) / 1.349, F.lit(2.0))
+    found = quart.select(
+        "key", F.lit(0).alias("start"), *[F.get(c, F.lit(1)).alias(f"m_{i}") for i, c in enumerate(NAMES)], *[(spread(NAMES[i]) if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in PAIRS]
+    )
+    one = F.lit(1.0).alias("weight")
+    found = found.union(_moments(rows.select("*", one), F.lit(1)))
+    if starts:
+        # the row of the least hash, for each of so many hashes
+        draws = [F.min_by(F.struct(*NAMES), F.xxhash64("row", F.lit(k), F.lit(n))).alias(f"d_{k}_{n}") for k in range(starts) for n in range(DRAWN)]
+        drawn = F.explode(F.array(*[F.struct(F.lit(k + 2).alias("start"), F.col(f"d_{k}_{n}").alias("z")) for k in range(starts) for n in range(DRAWN)])).alias("d")
+        few = rows.groupBy("key").agg(*draws).select("key", drawn).select("key", "d.start", "d.z.*", one)
+        found = found.union(_moments(few, F.col("start")))
+    return _factored(found)
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, core: float, few: bool) -> DataFrame:
+    """The estimates from the share ``core`` of each key's rows that lie nearest to the estimates ``now``.
+
+    Distances are counted in steps of a 32nd of a power of two, so a key has a
+    bounded number of counts; of the step in which the share ends, each row has
+    the same part of the weight.
+    """
+    far = _with(rows, now, few).select("key", "start", *NAMES, F.floor(32 * F.log2(_distance() + 1e-6)).cast("int").alias("bin"))
+    order = W.partitionBy("key", "start").orderBy("bin")
+    bins = far.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    bins = bins.withColumn("most", F.lit(core) * F.sum("n").over(W.partitionBy("key", "start"))).where("upto - n < most")
+    part = F.least(F.lit(1.0), (F.col("most") - (F.col("upto") - F.col("n"))) / F.col("n"))
+    ends = bins.groupBy(F.col("key").alias("k"), F.col("start").alias("s")).agg(F.max(F.struct("bin", part.alias("part"))).alias("end"))
+    near = far.join(F.broadcast(ends) if few else ends, (F.col("key") == F.col("k")) & (F.col("start") == F.col("s"))).where("bin <= end.bin")
+    return _factored(_moments(near.withColumn("weight", F.when(F.col("bin") < F.col("end.bin"), 1.0).otherwise(F.col("end.part"))), F.col("start")))
+
+
+def estimates(z: DataFrame, core: float = CORE, least_rows: int = LEAST_ROWS, starts: int = STARTS) -> tuple[DataFrame, DataFrame]:
+    """``(keys, parameters)``: the key of each (lang, source), and each key's centre, factor and ``log_det``.
 
     ``z`` is the transformed table, read several times; rows that fail the base
-    rules don't count. Every pass is a partial aggregation by key. Values and
-    distances enter quantiles rounded, so a quantile's state has a bounded
-    number of values and its result doesn't depend on the order of rows. Eager.
+    rules don't count. Every pass is a partial aggregation by key, and a search
+    goes on from each start until its determinant stays. Values enter quantiles
+    rounded, so a quantile's state has a bounded number of values. Eager.
     """
-    good = z.where(~base_failed()).select("lang", "source", *NAMES)
+    good = z.where(~base_failed()).select("lang", "source", F.xxhash64("doc_id", "text_hash").alias("row"), *NAMES)
     sizes = materialize(good.groupBy("lang", "source").count(), "mcd-sizes")
     by_lang = sizes.groupBy(F.col("lang").alias("g")).agg(F.sum("count").alias("n_lang"))
     keyed = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("g")), "left").select(
-        F.concat(_key("lang", "source")).alias("own"),
-        F.when(F.col("count") >= LEAST_ROWS, _key("lang", "source")).when(F.col("n_lang") >= LEAST_ROWS, _key("lang")).otherwise(_key()).alias("key"),
+        _key("lang", "source").alias("own"),
+        F.when(F.col("count") >= least_rows, _key("lang", "source")).when(F.col("n_lang") >= least_rows, _key("lang")).otherwise(_key()).alias("key"),
     )
     keyed = materialize(keyed, "mcd-keys")
-    used = keyed.select("key").distinct()
-    rows = good.withColumn("key", F.explode(F.array(_key("lang", "source"), _key("lang"), _key()))).select("key", *NAMES)
-    rows = materialize(_with(rows, used), "mcd-rows")
-
-    quart = rows.groupBy("key").agg(*[F.percentile(F.round(c, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in NAMES])
-    start = quart.select(
-        "key",
-        *[F.get(c, F.lit(1)).alias(f"m_{i}") for i, c in enumerate(NAMES)],
-        *[
-            (F.greatest((F.get(NAMES[i], F.lit(2)) - F.get(NAMES[i], F.lit(0))) / 1.349, F.lit(FLOOR[NAMES[i]])) if i == j else F.lit(0.0)).alias(f"l_{i}{j}")
-            for i in range(4)
-            for j in range(i + 1)
-        ],
-    )
-    now = materialize(start, "mcd")
-    for _ in range(STEPS):
-        far = _with(rows, now).select("key", *NAMES, F.floor(10 * F.log2(_distance() + 1e-6)).cast("int").alias("bin"))
-        core = _with(far, materialize(far.groupBy("key").agg(F.percentile("bin", F.lit(CORE)).alias("most")), "mcd-core")).where("bin <= most")
-        moments = core.groupBy("key").agg(
-            *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(NAMES)],
-            *[F.covar_pop(NAMES[i], NAMES[j]).alias(f"c_{i}{j}") for i in range(4) for j in range(i + 1)],
-        )
-        now = materialize(_cholesky(moments), "mcd")
-    return keyed, now
-
-
-def judge(docs: DataFrame) -> DataFrame:
+    used = materialize(keyed.select("key").distinct(), "mcd-used")
+    few = used.count() * (2 + starts) <= BROADCAST_KEYS
+    rows = good.withColumn("key", F.explode(F.array(_key("lang", "source"), _key("lang"), _key()))).select("key", "row", *NAMES)
+    rows = materialize(_with(rows, used, few), "mcd-rows")
+    now = materialize(_starts(rows, starts).withColumn("log_det", F.lit(float("inf"))), "mcd")
+    done = None
+    while now.head(1):  # each determinant falls by STAYS at least or its search ends, and none falls below that of FLOOR
+        step = _concentrated(rows, now, core, few).join(now.select("key", "start", F.col("log_det").alias("was")), ["key", "start"])
+        step = materialize(step.withColumn("goes_on", F.col("log_det") < F.col("was") - STAYS), "mcd")
+        ended = step.where("not goes_on").drop("was", "goes_on")
+        done = ended if done is None else done.union(ended)
+        now = step.where("goes_on").drop("was", "goes_on")
+    if done is None:
+        done = now
+    best = done.groupBy("key").agg(F.min(F.struct("log_det", "start", *[c for c in done.columns if c[:2] in ("m_", "l_")])).alias("b"))
+    return keyed, materialize(best.select("key", "b.*").drop("start"), "mcd")
+
+
+def judge(docs: DataFrame, core: float = CORE, cut: float = CUT, least_rows: int = LEAST_ROWS, starts: int = STARTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, base statistics, base_failed, distance, kept.
 
     ``distance`` is the squared Mahalanobis distance to the estimate of the
     row's language and source (null where base rules already fail); rows beyond
-    ``CUT`` aren't kept. Null languages and sources are groups like others, a
+    ``cut`` aren't kept. Null languages and sources are groups like others, a
     null text is empty (and so fails), an empty table gives an empty result, and
     equal rows get equal verdicts. Other columns of ``docs`` are ignored.
     """
     z = materialize(transformed(base_statistics(docs)), "quality")
-    keyed, found = estimates(z)
+    keyed, found = estimates(z, core, least_rows, starts)
     scored = z.withColumn("own", _key("lang", "source"))
     few = keyed.count() <= BROADCAST_KEYS
     both = keyed.join(found, "key").drop("key")
@@ -180,7 +229,7 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = base_failed()
     distance = F.when(~failed, _distance())
     return scored.select(
-        "doc_id", "text_hash", *BASE, failed.alias("base_failed"), distance.alias("distance"), (~failed & F.coalesce(distance <= CUT, F.lit(True))).alias("kept")
+        "doc_id", "text_hash", *BASE, failed.alias("base_failed"), distance.alias("distance"), (~failed & F.coalesce(distance <= cut, F.lit(True))).alias("kept")
     )
 
 
