@@ -1,11 +1,15 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
 Words are read by a lexicon transducer as insults (with a weight), threats,
-targets, negations or reporting words. A chain of transducers then rewrites the
-clause: a target sharpens what follows, a negation or a reporting word weakens
-it. Their composition is one deterministic weighted automaton, so a clause is
-read once; only clauses that it matches score. The insults and their weights are
-learnt from labelled rows, as words and as beginnings of words, in any language.
+targets, negations or reporting words; the last four word classes are fixed, but
+weights of insults and threats are learnt from labelled rows, in any language: of
+insults as words and as beginnings of words, of threats as words before a target.
+Two cascades of transducers then rewrite the clause. One reads it from its end, so
+that a target or a reporting word reaches back; the other reads what the first
+has written from its beginning. In each, a transducer reads the symbols that the
+one before it writes: a denied insult is no insult to those after it. Each cascade
+is composed into one deterministic weighted automaton, so a clause is read once in
+each direction; only clauses with an insult or a threat score.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from itertools import pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import small_text_batches, table
 from .labels import held_out, sigmoid, training_sample
 
-#: Labelled rows learnt from, and insults kept, at most.
-SAMPLE, LEXICON = 20_000, 3_000
+#: Labelled rows learnt from, at most; all that they teach is kept.
+SAMPLE = 20_000
 THRESHOLD = 0.5
 #: Least documents an insult is learnt from, and its least log-odds.
 LEAST_DOCS, LEAST_ODDS = 4, 1.5
@@ -40,76 +44,125 @@ THREATS = "kill hurt destroy beat attack shoot burn crush töten schlagen vernic
 
 TOKEN = re.compile(r"[.!?;:\n]|[^\W_]+(?:'\w+)?")
 END = frozenset(".!?;:\n")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Symbols: what the lexicon writes, then what only the grammar writes.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED, DENIED, QUOTED = range(9)
+SYMBOLS = 9
+#: Symbols that scopes and repetition act on; denied and quoted ones are done with.
+LIVE = (INSULT, THREAT, AIMED)
+TARGET_SET = frozenset(TARGETS)
+#: Weight of a word of ``THREATS`` before a target where the sample doesn't teach one.
+UNLEARNT = 1.0
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: ``moves[state][class] = (state, factor)``; factors of a path multiply. Missing: stay, 1."""
+    """Deterministic: ``moves[state, symbol] = (state, symbol written, factor)``. Missing: stay, the same symbol, 1."""
 
     name: str
     states: int
-    moves: dict[tuple[int, int], tuple[int, float]]
+    moves: dict[tuple[int, int], tuple[int, int, float]]
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.moves.get((state, symbol), (state, 1.0))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        return self.moves.get((state, symbol), (state, symbol, 1.0))
 
 
-def _scope(name: str, opener: int, factor: float, length: int) -> Transducer:
-    """Insults and threats up to ``length`` words after ``opener`` are multiplied by ``factor``."""
-    moves: dict[tuple[int, int], tuple[int, float]] = {}
-    for state, symbol in product(range(length + 1), range(6)):
-        hit = factor if state and symbol in (INSULT, THREAT) else 1.0
-        moves[state, symbol] = (length if symbol == opener else max(state - 1, 0), hit)
-    return Transducer(name, length + 1, moves)
+def _scope(name: str, opener: int, writes: int, factor: float, length: int | None = None) -> Transducer:
+    """Live insults and threats up to ``length`` words after ``opener``, or to the clause's end, are written as ``writes``."""
+    moves: dict[tuple[int, int], tuple[int, int, float]] = {}
+    last = length or 1
+    for state, symbol in product(range(last + 1), range(SYMBOLS)):
+        after = last if symbol == opener or (state and length is None) else max(state - 1, 0)
+        hit = state > 0 and symbol in LIVE and symbol != writes
+        moves[state, symbol] = (after, writes if hit else symbol, factor if hit else 1.0)
+    return Transducer(name, last + 1, moves)
 
 
-GRAMMAR = (
-    _scope("target", TARGET, 1.5, 6),
-    _scope("negation", NEGATION, 0.4, 3),
-    Transducer("report", 2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.5), (1, THREAT): (1, 0.5)}),
-    Transducer("repeat", 3, {(s, c): (min(s + 1, 2), (1.0, 1.1, 1.2)[s]) for s in range(3) for c in (INSULT, THREAT)}),
+#: Read from the clause's end: a reporting word or a target that follows.
+BACKWARD = (
+    _scope("report behind", REPORT, QUOTED, 0.5, 4),
+    _scope("target behind", TARGET, AIMED, 1.25, 3),
 )
+#: Read from the clause's beginning, after the former.
+FORWARD = (
+    _scope("negation", NEGATION, DENIED, 0.4, 3),
+    _scope("report", REPORT, QUOTED, 0.5),
+    _scope("target", TARGET, AIMED, 1.5, 6),
+    Transducer("repeat", 3, {(s, c): (min(s + 1, 2), c, (1.0, 1.1, 1.2)[s]) for s in range(3) for c in LIVE}),
+)
+
 
+def compose(parts: tuple[Transducer, ...]) -> Transducer:
+    """One transducer that does what ``parts`` do in turn, each reading what the one before it writes.
 
-def compose(parts: tuple[Transducer, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The composition's next states and factors, ``[state, class]``, from its reachable states; state 0 begins a clause."""
-    start = (0,) * len(parts)
-    names, todo, nexts, factors = {start: 0}, [start], [], []
+    Its states are the tuples of theirs that can be reached; state 0 begins a clause.
+    """
+    names: dict[tuple[int, ...], int] = {(0,) * len(parts): 0}
+    moves: dict[tuple[int, int], tuple[int, int, float]] = {}
+    todo = list(names)
     for state in todo:
-        row, weights = [], []
-        for symbol in range(6):
-            moved = [p.step(s, symbol) for p, s in zip(parts, state, strict=True)]
-            to = tuple(m[0] for m in moved)
-            if to not in names:
-                names[to] = len(names)
-                todo.append(to)
-            row.append(names[to])
-            weights.append(float(np.prod([m[1] for m in moved])))
-        nexts.append(row)
-        factors.append(weights)
-    return np.array(nexts), np.array(factors)
+        for symbol in range(SYMBOLS):
+            written, factor, to = symbol, 1.0, []
+            for part, own in zip(parts, state, strict=True):
+                moved, written, weight = part.step(own, written)
+                to.append(moved)
+                factor *= weight
+            if tuple(to) not in names:
+                names[tuple(to)] = len(names)
+                todo.append(tuple(to))
+            moves[names[state], symbol] = (names[tuple(to)], written, factor)
+    return Transducer(" . ".join(p.name for p in parts), len(names), moves)
+
+
+def tables(t: Transducer) -> list[list[tuple[int, int, float]]]:
+    """``t`` as rows of moves, ``[state][symbol]``."""
+    return [[t.step(s, c) for c in range(SYMBOLS)] for s in range(t.states)]
+
+
+BACKWARD_MOVES, FORWARD_MOVES = tables(compose(BACKWARD)), tables(compose(FORWARD))
 
 
 def features_of(word: str) -> list[str]:
+    """A word's features: itself, ending in ``$``, and its beginnings."""
     return [word + "$", *(word[:k] for k in PREFIXES if k < len(word))]
 
 
+def threat_of(word: str) -> str:
+    """The feature of a word that stands before a target."""
+    return word + ">"
+
+
+def clause_score(symbols: list[int], weights: list[float]) -> float:
+    """Sum of a clause's weights after both cascades have rewritten it."""
+    total, state = 0.0, 0
+    written, factors = [], []
+    for symbol in reversed(symbols):
+        state, out, factor = BACKWARD_MOVES[state][symbol]
+        written.append(out)
+        factors.append(factor)
+    state = 0
+    for symbol, factor, weight in zip(reversed(written), reversed(factors), weights, strict=True):
+        state, _, own = FORWARD_MOVES[state][symbol]
+        if weight:
+            total += weight * factor * own
+    return total
+
+
 class Reader:
-    """Scores texts by a lexicon of insults (a word ends in ``$``, else a beginning) and the grammar."""
+    """Scores texts by a lexicon of features with weights, and the grammar."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.known: dict[str, tuple[int, float] | None] = dict.fromkeys(END)
-        self.fixed: dict[str, tuple[int, float]] = {}
-        for symbol, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            self.fixed |= {w: (symbol, 1.0 if symbol == THREAT else 0.0) for w in words}
-        nexts, factors = compose(GRAMMAR)
-        self.nexts, self.factors = nexts.tolist(), factors.tolist()
-
-    def read(self, word: str) -> tuple[int, float]:
+        self.known: dict[str, tuple[int, float, float] | None] = dict.fromkeys(END)
+        self.fixed = {w: symbol for symbol, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+
+    def read(self, word: str) -> tuple[int, float, float]:
+        """A word's symbol and weight, and its weight as a threat where a target follows."""
+        threat = self.lexicon.get(threat_of(word), UNLEARNT if word in THREATS else 0.0)
+        symbol = self.fixed.get(word)
+        if symbol is not None:
+            return symbol, 0.0, 0.0
         weight = max((self.lexicon.get(f, 0.0) for f in features_of(word)), default=0.0)
-        return (INSULT, weight) if weight > 0 else self.fixed.get(word, (OTHER, 0.0))
+        return (INSULT if weight > 0 else OTHER), max(weight, 0.0), threat
 
     def summary(self, text: str) -> tuple[float, float, float, float]:
         """Logs of the sum and of the best clause's score, of matched clauses, and of words."""
@@ -120,36 +173,48 @@ class Reader:
         for w in set(tokens).difference(known):
             known[w] = self.read(w)
         read = list(map(known.__getitem__, tokens))
-        total = best = clause = 0.0
-        matched = state = 0
-        nexts, factors = self.nexts, self.factors
-        hits = [i for i, r in enumerate(read) if r is not None and r[1] > 0]
-        done = -1
-        for i in hits:
+        total = best = 0.0
+        matched, done, n = 0, -1, len(read)
+        for i in [i for i, r in enumerate(read) if r is not None and (r[1] or r[2])]:
             if i <= done:
                 continue
+            aimed = lambda k: k + 1 < n and read[k + 1] is not None and read[k + 1][0] == TARGET  # noqa: B023, E731
+            if not read[i][1] and not aimed(i):
+                continue
             start = i
             while start and read[start - 1] is not None:
                 start -= 1
-            state, clause, at = 0, 0.0, start
-            while at < len(read) and read[at] is not None:
-                symbol, weight = read[at]
-                if weight:
-                    clause += weight * factors[state][symbol]
-                state = nexts[state][symbol]
-                at += 1
-            done = at
+            done = i
+            while done + 1 < n and read[done + 1] is not None:
+                done += 1
+            symbols, weights = [], []
+            for k in range(start, done + 1):
+                symbol, weight, threat = read[k]
+                if threat > weight and aimed(k):
+                    symbol, weight = THREAT, threat
+                symbols.append(symbol)
+                weights.append(weight)
+            clause = clause_score(symbols, weights)
             total += clause
             best = max(best, clause)
             matched += 1
-        return float(np.log1p(total)), float(np.log1p(best)), float(np.log1p(matched)), float(np.log1p(len(tokens)))
+        return float(np.log1p(total)), float(np.log1p(best)), float(np.log1p(matched)), float(np.log1p(n))
+
+
+def row_features(text: str) -> set[str]:
+    """The features that a text has: of its words, and of those before a target in a clause."""
+    tokens = TOKEN.findall(text.lower())
+    found = {f for w in set(tokens) if w not in END for f in features_of(w)}
+    found.update(threat_of(a) for a, b in pairwise(tokens) if b in TARGET_SET and a not in END)
+    return found
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Words and beginnings of words that toxic rows of ``sample(text, y)`` have more often, with log-odds.
+    """Features that toxic rows of ``sample(text, y)`` have more often, with their log-odds less a standard error.
 
-    Rows are counted in tasks and summed by feature; at most ``LEXICON`` of the
-    strongest reach the driver. Eager.
+    Rows are counted in tasks and summed by feature; those of at least
+    ``LEAST_ODDS`` that ``LEAST_DOCS`` toxic rows have reach the driver, so their
+    number is bounded by the sample's. Eager.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +223,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[y] += 1
-                counts[y].update({f for w in set(TOKEN.findall((text or "").lower())) if w not in END for f in features_of(w)})
+                counts[y].update(row_features(text or ""))
         names = [*counts[1], *(f for f in counts[0] if f not in counts[1])]
         if sum(n):
             yield pa.RecordBatch.from_arrays(
@@ -173,8 +238,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     rate_p, rate_n = (F.col("p") + 0.5) / (whole["p"] + 1.0), (F.col("n") + 0.5) / (whole["n"] + 1.0)
     odds = F.log(rate_p / rate_n) - F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
     ranked = sums.where("feature <> ''").select("feature", odds.alias("odds")).where(f"odds >= {LEAST_ODDS}")
-    found = ranked.orderBy(F.desc("odds"), "feature").limit(LEXICON).collect()
-    return {r["feature"]: r["odds"] for r in found}
+    return {r["feature"]: r["odds"] for r in ranked.collect()}
 
 
 def summaries(docs: DataFrame, lexicon: dict[str, float], extra: str) -> DataFrame:
