@@ -17,7 +17,10 @@ from .common import materialize, table, utf8, with_rank
 
 CLASSES = 1 << 14
 OVERHEAD = 16
-SALTS = 64
+#: Rows that are ranked in one task, about.
+RANKED = 250_000
+#: Runs up to which their table is broadcast; beyond, it is joined.
+BROADCAST_RUNS = 500_000
 
 
 @dataclass
@@ -182,9 +185,10 @@ def sized(docs: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, shards: int | None = 40, capacity: int | None = None) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` of every row of ``docs``.
 
-    With ``shards``, sizes are near equal over that many; with ``capacity``
-    instead, as few shards as best-fit decreasing finds hold that many bytes
-    each. Equal texts are one indivisible group: one larger than an equal share
+    With ``shards``, sizes are near equal over that many: a class's members count
+    with their mean. With ``capacity`` instead, as few shards as best-fit
+    decreasing finds hold that many bytes each: members count with their class's
+    largest, so no shard but that of a single larger group is ever over it. Equal texts are one indivisible group: one larger than an equal share
     (or than the capacity) gets a shard of its own. Slots are gapless from 0.
     Rows of one doc_id, and a null doc_id, are rows like any other; an empty
     table gives an empty result. Only sizes, counts and digests are shuffled.
@@ -199,13 +203,17 @@ def shard(docs: DataFrame, shards: int | None = 40, capacity: int | None = None)
     # a class per quantum below a share; above, a class per size: at most one a shard
     name = F.when(F.col("bytes") > share, -F.col("bytes")).otherwise(F.expr(f"bytes div {quantum}"))
     groups = groups.withColumn("class", name)
-    classes = [(r["class"], r["b"] / r["n"], r["n"]) for r in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).collect()]
+    # at most CLASSES and a class a shard's share above: bounded, whatever the input
+    size = F.max("bytes").cast("double") if capacity else F.avg("bytes")
+    classes = [(r["class"], r["size"], r["n"]) for r in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), size.alias("size")).collect()]
     placed = best_fit_decreasing(classes, capacity) if capacity else balance(classes, shards)
     where = spark.createDataFrame([(c, a, b, s) for c, a, b, s in placed], "of long, lo long, hi long, shard int")
-    ranked = with_rank(groups, ["class"], ["digest"], SALTS)
-    owner = ranked.join(F.broadcast(where), (F.col("class") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(F.col("digest").alias("g"), "shard")
+    few = len(placed) <= BROADCAST_RUNS
+    most = max((n for _, _, n in classes), default=0)
+    ranked = with_rank(groups, ["class"], ["digest"], -(-most // RANKED) or 1)
+    owner = ranked.join(F.broadcast(where) if few else where, (F.col("class") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(F.col("digest").alias("g"), "shard")
     dealt = rows.join(owner, F.col("digest") == F.col("g")).select("doc_id", "size", "text_crc32", "shard")
-    return with_rank(dealt, ["shard"], ["doc_id", "text_crc32"], SALTS, "slot")
+    return with_rank(dealt, ["shard"], ["doc_id", "text_crc32"], max(8, rows.count() // RANKED), "slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
