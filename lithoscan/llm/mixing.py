@@ -9,13 +9,14 @@ of the next one.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, materialize, packed, table, unpacked
+from .common import fresh, materialize, packed, table, unpacked, utf8
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Leaves up to which their table is broadcast; beyond, it is joined.
@@ -77,13 +78,14 @@ def _share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 
 def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Leaves of ``rows(*names, tokens)`` with ``leaf_tokens``, ``given``, ``epochs`` (whole ones) and ``rest``."""
+    """Leaves of ``rows(*names, tokens)`` with ``leaf_tokens``, ``given``, ``epochs`` (whole ones), ``rest`` and
+    ``bits``: half the bits of the leaf's number of rows."""
     names = list(mix.names)
-    leaves = materialize(rows.groupBy(*names).agg(F.sum("tokens").alias("leaf_tokens")), "mix-leaves")
+    leaves = materialize(rows.groupBy(*names).agg(F.sum("tokens").alias("leaf_tokens"), F.count(F.lit(1)).alias("leaf_rows")), "mix-leaves")
     total = leaves.agg(F.sum("leaf_tokens")).first()[0] or 0
     budget = min(mix.budget if mix.budget is not None else total, total * mix.most_epochs)
     # capacities go up: what a node of weight 0 holds counts for nobody
-    caps = leaves.withColumn("cap", F.col("leaf_tokens") * mix.most_epochs)
+    caps = leaves.drop("leaf_rows").withColumn("cap", F.col("leaf_tokens") * mix.most_epochs)
     up = {}
     for k in range(len(names), 0, -1):
         caps = caps.withColumn("weight", F.expr(mix.weights[k - 1]).cast("long"))
@@ -100,7 +102,7 @@ def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
         down = _share(nodes, names[: k - 1] or [F.lit(1)], names[k - 1])
     taken = down.select(*[F.col(n).alias(f"__{n}") for n in names], "given")
     found = leaves.join(taken, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]).where("leaf_tokens > 0")
-    return found.select(*names, "leaf_tokens", "given", F.expr("given div leaf_tokens").alias("epochs"), F.expr("given % leaf_tokens").alias("rest"))
+    return found.select(*names, "leaf_tokens", "given", F.expr("given div leaf_tokens").alias("epochs"), F.expr("given % leaf_tokens").alias("rest"), F.least(F.ceil(F.log2("leaf_rows") / 2), F.lit(31)).cast("int").alias("bits"))
 
 
 def _draw(seed: int) -> Column:
@@ -108,46 +110,71 @@ def _draw(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.coalesce(F.col("doc").cast("string"), F.lit(""))))
 
 
+def _own_column(columns: list[str], name: str, expression: str) -> str | None:
+    """The column of ``docs`` that a level of that name is made from, if there is one: it stands for the level."""
+    found = [c for c in columns if c.lower() == name.lower()]
+    return found[0] if found and re.search(rf"\b{re.escape(name)}\b", expression, re.I) else None
+
+
 def mix(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
     """``docs`` with the level columns, ``tokens`` and ``copies``: how many epochs take the row.
 
     Rows that no epoch takes are left out. Within a leaf, the epoch that isn't
     whole takes the longest prefix of its order that fits. Order is dealt to
-    4,096 parts: parts before the one where the budget ends are taken whole
-    and only that one is sorted, so no leaf is one task's work. Columns of
-    ``docs`` stay; the levels that it lacks come after them, then tokens and
+    parts, about the root of the leaf's rows in number, so neither the parts nor
+    the one in which the budget ends, the only one that is sorted, are more than
+    that many rows; only the keys are sorted, and the row where the prefix ends
+    is what the texts are held against. Columns of ``docs`` stay; the levels that
+    aren't made from a column of their name come after them, then tokens and
     copies, with underscores where they clash. A null text
     has no tokens and is taken with its place in the order; null languages and
     sources count as empty names; a null doc_id is drawn as an empty one; rows
-    of one doc_id have one place and are taken in order of their text; an empty
-    table gives an empty result. Eager up to the budgets.
+    of one doc_id have one place and are taken in order of their text's digest;
+    equal rows are taken as far as they fit; an empty table gives an empty
+    result. Eager up to the budgets.
     """
     names = list(spec.names)
-    base = docs.select(packed(docs), *[F.expr(e).alias(n) for n, e in spec.levels], token_count(F.col("text")).alias("tokens"), F.col("doc_id").alias("doc"))
-    slim = materialize(base.select(*names, "doc", "tokens"), "mix-rows")
+    digest = F.md5(utf8(F.col("text")))
+    base = docs.select(
+        packed(docs), *[F.expr(e).alias(n) for n, e in spec.levels], token_count(F.col("text")).alias("tokens"), F.col("doc_id").alias("doc"), digest.alias("digest")
+    )
+    slim = materialize(base.select(*names, "doc", "digest", "tokens"), "mix-rows")
     leaves = materialize(budgets(slim, spec), "mix-budgets")
     few = leaves.count() <= BROADCAST_LEAVES
     small = lambda d: F.broadcast(d) if few else d
-    place = F.conv(F.substring(_draw(spec.seed), 1, 3), 16, 10).cast("int")
+    draw = _draw(spec.seed)
+    part = F.expr("shiftright(cast(conv(substring(draw, 1, 8), 16, 10) as bigint), 32 - bits)")
 
-    parts = slim.join(small(leaves), names).withColumn("part", place).groupBy(*names, "part").agg(F.sum("tokens").alias("part_tokens"), F.first("rest").alias("rest"))
+    drawn = slim.join(small(leaves), names).withColumn("draw", draw).withColumn("part", part)
+    parts = drawn.groupBy(*names, "part").agg(F.sum("tokens").alias("part_tokens"), F.first("rest").alias("rest"))
     run = W.partitionBy(*names).orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = parts.withColumn("upto", F.sum("part_tokens").over(run)).where("upto > rest")
     ends = ends.groupBy(*names).agg(F.min("part").alias("end_part"), F.min_by(F.col("upto") - F.col("part_tokens"), "part").alias("before"))
-    keep = materialize(leaves.join(ends, names, "left").select(*names, "epochs", "rest", "end_part", "before"), "mix-ends")
-
-    rows = base.join(small(keep), names).withColumn("part", place)
-    once_more = lambda fits: F.col("epochs") + (fits & (F.col("rest") > 0)).cast("long")
-    sure = rows.where("end_part is null or part <> end_part").withColumn("copies", once_more(F.col("part") < F.coalesce("end_part", F.lit(1 << 12))))
-    order = W.partitionBy(*names).orderBy(_draw(spec.seed), "doc", F.col("row.text")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = rows.where("part = end_part").withColumn("sum", F.col("before") + F.sum("tokens").over(order)).withColumn("copies", once_more(F.col("sum") <= F.col("rest"))).drop("sum")
-    taken = list(docs.columns)
-    new = [F.col(n) for n in names if n not in taken]
-    taken += [n for n in names if n not in taken]
+    ends = materialize(ends, "mix-ends")
+
+    order = W.partitionBy(*names).orderBy("draw", "digest").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = drawn.drop("rest").join(small(ends.join(leaves.select(*names, "rest"), names)), names).where("part = end_part")
+    fits = edge.withColumn("sum", F.col("before") + F.sum("tokens").over(order)).where("sum <= rest")
+    last = fits.groupBy(*names, "draw", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy(*names).agg(F.max(F.struct("draw", "digest", "n")).alias("cut"))
+    keep = materialize(leaves.join(ends.select(*names, "end_part"), names, "left").join(last, names, "left").select(*names, "epochs", "rest", "bits", "end_part", "cut"), "mix-keep")
+
+    rows = base.join(small(keep), names).withColumn("draw", draw).withColumn("part", part)
+    once_more = lambda fits: F.col("epochs") + (F.coalesce(fits, F.lit(False)) & (F.col("rest") > 0)).cast("long")
+    at_end = F.coalesce(F.col("part") == F.col("end_part"), F.lit(False))
+    at_cut = F.coalesce(at_end & (F.col("draw") == F.col("cut.draw")) & (F.col("digest") == F.col("cut.digest")), F.lit(False))
+    before = F.when(at_end, F.struct("draw", "digest") < F.struct("cut.draw", "cut.digest")).otherwise(F.col("end_part").isNull() | (F.col("part") < F.col("end_part")))
+    sure = rows.where(~at_cut).withColumn("copies", once_more(before))
+    # equal rows where the prefix ends, of which not all may fit
+    same = rows.where(at_cut).withColumn("copies", once_more(F.row_number().over(W.partitionBy(*names).orderBy("draw")) <= F.col("cut.n")))
+    taken, new = list(docs.columns), []
+    for n, e in spec.levels:
+        if _own_column(docs.columns, n, e) is None:
+            taken.append(fresh(taken, n))
+            new.append(F.col(n).alias(taken[-1]))
     for n in ("tokens", "copies"):
         taken.append(fresh(taken, n))
         new.append(F.col(n).cast("long").alias(taken[-1]))
-    return sure.unionByName(edge).where("copies > 0").select(*unpacked(docs.columns), *new)
+    return sure.unionByName(same).where("copies > 0").select(*unpacked(docs.columns), *new)
 
 
 def mixed_documents(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
@@ -158,7 +185,8 @@ def mixed_documents(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "copies")
+    named = [F.coalesce(F.col(n), F.lit("")).alias(n) for n in ("domain", "lang", "source")]
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", *named, "tokens", "copies")
 
 
 def oracle(spec: Mix = Mix(), docs: str = "documents") -> str:
@@ -192,6 +220,6 @@ b3 AS (SELECT u3.*, s2.given AS budget FROM u3 JOIN s2 USING ({n1}, {n2})),
 {share("b3", "s3", f"{n1}, {n2}", n3)},
 e AS (SELECT {n1}, {n2}, {n3}, given // leaf_tokens AS epochs, given % leaf_tokens AS rest FROM s3 WHERE leaf_tokens > 0),
 r AS (SELECT d.*, epochs, rest, md5('{spec.seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS u FROM d JOIN e USING ({n1}, {n2}, {n3})),
-c AS (SELECT *, sum(tokens) OVER (PARTITION BY {n1}, {n2}, {n3} ORDER BY u, doc_id, text ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY {n1}, {n2}, {n3} ORDER BY u, md5(coalesce(text, '')) ROWS UNBOUNDED PRECEDING) AS upto FROM r)
 SELECT doc_id, {n1}, {n2}, {n3}, tokens::BIGINT AS tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM c WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0"""
