@@ -17,7 +17,10 @@ from .common import discard, materialize, table
 
 #: Hosts up to which their verdicts are broadcast; beyond, they are joined.
 BROADCAST_HOSTS = 100_000
-LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: Targets of anchors and areas; what isn't text for readers; and links that name a host of their own.
+LINK = r"""(?i)<a(?:rea)?\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 
 
 @dataclass(frozen=True)
@@ -67,8 +70,15 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst, n)``: links of ``pages(host, html)`` between different hosts, counted before they are shuffled on."""
-    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to"))
+    """``(src, dst, n)``: links of ``pages(host, html)`` between different hosts, counted before they are shuffled on.
+
+    Links in comments, scripts and styles don't count, and a link has a host only
+    where it begins with ``//`` or a scheme and ``://``: a URL within another
+    one's query is none. Null html, and an empty table, have no links.
+    """
+    shown = F.regexp_replace("html", HIDDEN, " ")
+    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(shown, F.lit(LINK), 1)).alias("to"))
+    links = links.where(F.col("to").rlike(ABSOLUTE))
     to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
     links = links.select("src", host_of(to).alias("dst"))
     return links.where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -78,8 +88,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, t
     """Personalised PageRank ``(host, score)`` over ``edges(src, dst, p)``, p summing to 1 by src.
 
     ``seeds(host, seed)``: where walks begin, summing to 1; what ends at a host
-    without edges begins anew. Hosts that no walk reaches have no row. Each round
-    is an aggregation by host, written to the shared folder. Eager.
+    without edges begins anew. Hosts that no walk reaches have no row; without
+    edges, or without seeds, the seeds are the result. Each round is an aggregation by host, written to the shared folder. Eager.
     """
     now = materialize(seeds.select("host", F.col("seed").alias("score")), "rank")
     if not edges.head(1):
