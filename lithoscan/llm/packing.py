@@ -33,8 +33,9 @@ END_ID = 0
 #: Words whose ids a worker remembers, at most twice as many: when so many are
 #: known they become the older half, and the older half goes. Never changes ids.
 REMEMBERED = 200_000
-#: Steps of the search beyond best-fit decreasing, unless the caller gives others.
-NODES = 200_000
+#: Steps of the search beyond best-fit decreasing, about two seconds on the
+#: driver, unless the caller gives others.
+STEPS = 100_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 250_000
 #: Runs up to which their table is broadcast; beyond, it is joined.
@@ -217,8 +218,20 @@ def dominated(filling: Sequence[int], waste: int, spare: int) -> bool:
     return bool(waste and (_spread((one | several) << 1, waste - 1) | _spread(1 << 1, waste - 1)) & spare)
 
 
-def fillings(counts: dict[int, int], room: int, most_waste: int | None = None) -> Iterator[tuple[int, ...]]:
-    """All undominated fillings of ``room`` by pieces of ``counts``, by waste, up to ``most_waste``.
+class Steps:
+    """How many steps a search may still take; None: any number."""
+
+    def __init__(self, left: int | None):
+        self.left = left
+
+    def take(self) -> bool:
+        if self.left is not None:
+            self.left -= 1
+        return self.left is None or self.left >= 0
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int | None = None, steps: Steps | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` by pieces of ``counts``, by waste, up to ``most_waste``, as far as ``steps`` go.
 
     Lazy: sums that the pieces can make are bits of one integer for each prefix
     of the sizes, so the descent, longest first, meets no dead end.
@@ -229,7 +242,11 @@ def fillings(counts: dict[int, int], room: int, most_waste: int | None = None) -
         makes.append(_add(makes[-1], s, counts[s], room))
     plenty = sum(1 << s for s in sizes if counts[s] > room // s)
 
+    steps = steps or Steps(None)
+
     def grow(left: int, below: int, chosen: list[int], one: int, several: int) -> Iterator[tuple[int, ...]]:
+        if not steps.take():
+            return
         if left == 0:
             yield tuple(chosen)
             return
@@ -256,7 +273,7 @@ def fillings(counts: dict[int, int], room: int, most_waste: int | None = None) -
                     yield found
 
 
-def bin_completion(counts: dict[int, int], room: int = LENGTH, nodes: int | None = NODES) -> list[Pattern]:
+def bin_completion(counts: dict[int, int], room: int = LENGTH, steps: int | None = STEPS) -> list[Pattern]:
     """Fillings with multiplicities that hold every piece, in as few bins as the search finds.
 
     ``counts``: pieces of each length, none over ``room``. Depth first: the
@@ -264,9 +281,10 @@ def bin_completion(counts: dict[int, int], room: int = LENGTH, nodes: int | None
     often as it goes and then ever less often; a branch ends where its waste
     allows no better solution. Best-fit decreasing is the first incumbent. The
     result has the fewest bins possible where it meets :func:`lower_bound` or
-    the search ends; ``nodes`` bounds the steps of a search that doesn't, after
-    which the best so far stands, and None lets it run to its end.
+    the search ends; ``steps`` bounds a search that doesn't, counted in pieces
+    placed, after which the best so far stands, and None lets it run to its end.
     """
+    left_steps = Steps(steps)
     counts = {s: c for s, c in counts.items() if c}
     best = best_fit_decreasing(counts, room)
     n_best = sum(m for _, m in best)
@@ -279,7 +297,7 @@ def bin_completion(counts: dict[int, int], room: int = LENGTH, nodes: int | None
         left[top] -= 1
         own = dict(left)
         left[top] += 1
-        for f in fillings(own, room - top, (n_best - 1) * room - volume - waste):
+        for f in fillings(own, room - top, (n_best - 1) * room - volume - waste, left_steps):
             items = (top, *f)
             for times in range(min(left[s] // k for s, k in Counter(items).items()), 0, -1):
                 yield items, times
@@ -289,8 +307,7 @@ def bin_completion(counts: dict[int, int], room: int = LENGTH, nodes: int | None
             left[s] -= k * times
 
     stack = [options()] if counts and n_best > least else []
-    while stack and n_best > least and nodes != 0:
-        nodes = None if nodes is None else nodes - 1
+    while stack and n_best > least and left_steps.take():
         found = next(stack[-1], None)
         if found is None:
             stack.pop()
@@ -333,7 +350,7 @@ def runs(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, nodes: int | None = NODES) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, steps: int | None = STEPS) -> DataFrame:
     """Every piece of every row of ``docs`` with its sequence and offset.
 
     Pieces as of :func:`pieces`; a full piece is a sequence of its own, numbered
@@ -346,7 +363,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, nodes:
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path, length), "pieces")
     counts = {r["length"]: r["count"] for r in cut.where(F.col("length") < length).groupBy("length").count().collect()}
-    patterns = bin_completion(counts, length, nodes)
+    patterns = bin_completion(counts, length, steps)
     short = sum(m for _, m in patterns)
     logging.getLogger(__name__).info("%d sequences for pieces shorter than %d, lower bound %d", short, length, lower_bound(counts, length))
     found = runs(patterns)
