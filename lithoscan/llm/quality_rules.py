@@ -13,7 +13,6 @@ by Mahalanobis distance, are rejected.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -103,60 +102,59 @@ def _with(rows: DataFrame, small: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(small) if few else small, "key")
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution in the Cholesky factor l_*."""
-    y: list[Column] = []
+PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+_CENTRE = [f"m_{i}" for i in range(len(NAMES))]
+_FACTOR = [f"l_{i}{j}" for i, j in PAIRS]
+
+
+def _distance_sql() -> str:
+    """Squared Mahalanobis distance by forward substitution in the Cholesky factor l_*, as SQL: one expression, whatever its length."""
+    y: list[str] = []
     for i, z in enumerate(NAMES):
-        rest = F.col(z) - F.col(f"m_{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l_{i}{j}") * y[j]
-        y.append(rest / F.col(f"l_{i}{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+        rest = "".join([f"({z} - m_{i})", *(f" - l_{i}{j} * {y[j]}" for j in range(i))])
+        y.append(f"(({rest}) / l_{i}{i})")
+    return " + ".join(f"{v} * {v}" for v in y)
 
 
-PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+def _distance() -> Column:
+    return F.expr(_distance_sql())
 
 
 def _factored(moments: DataFrame) -> DataFrame:
     """``(key, start, m_i, l_ij, log_det)`` of centres m_i and covariances c_ij (j <= i): the covariance, scaled and
     with the squares of ``FLOOR`` added, as its Cholesky factor and the logarithm of its determinant."""
     d = moments
-    for i, j in PAIRS:
-        v = F.col(f"c_{i}{j}") * SCALE + (F.lit(FLOOR[NAMES[i]] ** 2) if i == j else F.lit(0.0))
-        for k in range(j):
-            v = v - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-        d = d.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l_{j}{j}"))
-    log_det = sum((2 * F.log(F.col(f"l_{i}{i}")) for i in range(1, len(NAMES))), 2 * F.log(F.col("l_00")))
+    for j in range(len(NAMES)):  # column by column of the factor
+        rest = lambda i: f"c_{i}{j} * {SCALE}D" + (f" + {FLOOR[NAMES[i]] ** 2!r}D" if i == j else "") + "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j))  # noqa: B023, E731
+        d = d.selectExpr("*", f"sqrt(greatest({rest(j)}, 1e-6D)) AS l_{j}{j}")
+        if j + 1 < len(NAMES):
+            d = d.selectExpr("*", *[f"({rest(i)}) / l_{j}{j} AS l_{i}{j}" for i in range(j + 1, len(NAMES))])
+    log_det = " + ".join(f"2 * ln(l_{i}{i})" for i in range(len(NAMES)))
     # rounded, so that the order in which tasks add up changes nothing
-    rounded = [F.round(c, 9).alias(c) for c in [*(f"m_{i}" for i in range(len(NAMES))), *(f"l_{i}{j}" for i, j in PAIRS)]]
-    return d.select("key", "start", *rounded, F.round(log_det, 9).alias("log_det"))
+    return d.selectExpr("key", "start", *[f"round({c}, 9) AS {c}" for c in [*_CENTRE, *_FACTOR]], f"round({log_det}, 9) AS log_det")
 
 
-def _moments(rows: DataFrame, start: Column) -> DataFrame:
+def _moments(rows: DataFrame, start: str) -> DataFrame:
     """Centres and covariances of ``rows`` by key, each row as often as its ``weight``."""
-    w = F.col("weight")
-    sums = rows.groupBy("key", start.alias("start")).agg(
-        F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(f"s_{i}") for i, c in enumerate(NAMES)], *[F.sum(w * F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}{j}") for i, j in PAIRS]
-    )
-    mean = [F.col(f"s_{i}") / F.col("w") for i in range(len(NAMES))]
-    return sums.select("key", "start", *[m.alias(f"m_{i}") for i, m in enumerate(mean)], *[(F.col(f"s_{i}{j}") / F.col("w") - mean[i] * mean[j]).alias(f"c_{i}{j}") for i, j in PAIRS])
+    terms = [f"weight * {c} AS t_{i}" for i, c in enumerate(NAMES)] + [f"weight * {NAMES[i]} * {NAMES[j]} AS t_{i}{j}" for i, j in PAIRS]
+    sums = rows.selectExpr("key", f"{start} AS start", "weight", *terms).groupBy("key", "start").sum("weight", *(t.split(" AS ")[1] for t in terms))
+    mean = {i: f"`sum(t_{i})` / `sum(weight)`" for i in range(len(NAMES))}
+    return sums.selectExpr("key", "start", *[f"{mean[i]} AS m_{i}" for i in mean], *[f"`sum(t_{i}{j})` / `sum(weight)` - ({mean[i]}) * ({mean[j]}) AS c_{i}{j}" for i, j in PAIRS])
 
 
 def _starts(rows: DataFrame, starts: int) -> DataFrame:
     """The estimates that the search begins with, as of :func:`_factored`, for each key of ``rows``."""
-    quart = rows.groupBy("key").agg(*[F.percentile(F.round(c, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in NAMES])
-    spread = lambda c: F.pow((F.get(c, F.lit(2)) - F.get(c, F.lit(0))) / 1.349, F.lit(2.0))
-    found = quart.select(
-        "key", F.lit(0).alias("start"), *[F.get(c, F.lit(1)).alias(f"m_{i}") for i, c in enumerate(NAMES)], *[(spread(NAMES[i]) if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in PAIRS]
-    )
-    one = F.lit(1.0).alias("weight")
-    found = found.union(_moments(rows.select("*", one), F.lit(1)))
+    quart = rows.groupBy("key").agg(*[F.expr(f"percentile(round({c}, 2), array(0.25, 0.5, 0.75)) AS {c}") for c in NAMES])
+    spread = lambda i: f"pow(({NAMES[i]}[2] - {NAMES[i]}[0]) / 1.349D, 2)"
+    found = quart.selectExpr("key", "0 AS start", *[f"{c}[1] AS m_{i}" for i, c in enumerate(NAMES)], *[f"{spread(i) if i == j else '0D'} AS c_{i}{j}" for i, j in PAIRS])
+    found = found.union(_moments(rows.selectExpr("*", "1D AS weight"), "1"))
     if starts:
         # the row of the least hash, for each of so many hashes
-        draws = [F.min_by(F.struct(*NAMES), F.xxhash64("row", F.lit(k), F.lit(n))).alias(f"d_{k}_{n}") for k in range(starts) for n in range(DRAWN)]
-        drawn = F.explode(F.array(*[F.struct(F.lit(k + 2).alias("start"), F.col(f"d_{k}_{n}").alias("z")) for k in range(starts) for n in range(DRAWN)])).alias("d")
-        few = rows.groupBy("key").agg(*draws).select("key", drawn).select("key", "d.start", "d.z.*", one)
-        found = found.union(_moments(few, F.col("start")))
+        z = f"struct({', '.join(NAMES)})"
+        draws = [F.expr(f"min_by({z}, xxhash64(row, {k}, {n})) AS d_{k}_{n}") for k in range(starts) for n in range(DRAWN)]
+        each = ", ".join(f"struct({k + 2} AS start, d_{k}_{n} AS z)" for k in range(starts) for n in range(DRAWN))
+        few = rows.groupBy("key").agg(*draws).selectExpr("key", f"inline(array({each})) AS (start, z)").selectExpr("key", "start AS s", "z.*", "1D AS weight")
+        found = found.union(_moments(few, "s"))
     return _factored(found)
 
 
@@ -167,14 +165,13 @@ def _concentrated(rows: DataFrame, now: DataFrame, core: float, few: bool) -> Da
     bounded number of counts; of the step in which the share ends, each row has
     the same part of the weight.
     """
-    far = _with(rows, now, few).select("key", "start", *NAMES, F.floor(32 * F.log2(_distance() + 1e-6)).cast("int").alias("bin"))
-    order = W.partitionBy("key", "start").orderBy("bin")
-    bins = far.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    bins = bins.withColumn("most", F.lit(core) * F.sum("n").over(W.partitionBy("key", "start"))).where("upto - n < most")
-    part = F.least(F.lit(1.0), (F.col("most") - (F.col("upto") - F.col("n"))) / F.col("n"))
-    ends = bins.groupBy(F.col("key").alias("k"), F.col("start").alias("s")).agg(F.max(F.struct("bin", part.alias("part"))).alias("end"))
-    near = far.join(F.broadcast(ends) if few else ends, (F.col("key") == F.col("k")) & (F.col("start") == F.col("s"))).where("bin <= end.bin")
-    return _factored(_moments(near.withColumn("weight", F.when(F.col("bin") < F.col("end.bin"), 1.0).otherwise(F.col("end.part"))), F.col("start")))
+    far = _with(rows, now, few).selectExpr("key", "start", *NAMES, f"cast(floor(32 * log2({_distance_sql()} + 1e-6D)) AS int) AS bin")
+    over = "OVER (PARTITION BY key, start"
+    bins = far.groupBy("key", "start", "bin").count().selectExpr("*", f"sum(count) {over} ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto", f"{core}D * sum(count) {over}) AS most")
+    bins = bins.where("upto - count < most").selectExpr("key AS k", "start AS s", "struct(bin, least(1D, (most - (upto - count)) / count) AS part) AS end")
+    ends = bins.groupBy("k", "s").agg(F.expr("max(end) AS end"))
+    near = far.join(F.broadcast(ends) if few else ends, F.expr("key = k AND start = s")).where("bin <= end.bin")
+    return _factored(_moments(near.selectExpr(*far.columns, "CASE WHEN bin < end.bin THEN 1D ELSE end.part END AS weight"), "start"))
 
 
 def estimates(z: DataFrame, core: float = CORE, least_rows: int = LEAST_ROWS, starts: int = STARTS) -> tuple[DataFrame, DataFrame]:
@@ -200,11 +197,11 @@ def estimates(z: DataFrame, core: float = CORE, least_rows: int = LEAST_ROWS, st
     now = materialize(_starts(rows, starts).withColumn("log_det", F.lit(float("inf"))), "mcd")
     done = None
     while now.head(1):  # each determinant falls by STAYS at least or its search ends, and none falls below that of FLOOR
-        step = _concentrated(rows, now, core, few).join(now.select("key", "start", F.col("log_det").alias("was")), ["key", "start"])
-        step = materialize(step.withColumn("goes_on", F.col("log_det") < F.col("was") - STAYS), "mcd")
-        ended = step.where("not goes_on").drop("was", "goes_on")
+        step = _concentrated(rows, now, core, few).join(now.selectExpr("key", "start", "log_det AS was"), ["key", "start"])
+        step = materialize(step.selectExpr("*", f"log_det < was - {STAYS} AS goes_on").drop("was"), "mcd")
+        ended = step.where("not goes_on").drop("goes_on")
         done = ended if done is None else done.union(ended)
-        now = step.where("goes_on").drop("was", "goes_on")
+        now = step.where("goes_on").drop("goes_on")
     if done is None:
         done = now
     best = done.groupBy("key").agg(F.min(F.struct("log_det", "start", *[c for c in done.columns if c[:2] in ("m_", "l_")])).alias("b"))
