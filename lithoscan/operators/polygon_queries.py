@@ -42,10 +42,12 @@ def _plates(spark, sf_dir):
 def _odd(spark, sf_dir):
     """Rings of which some have no area, cross themselves or span too much."""
     ring = F.expr(
-        "CASE id % 9 WHEN 0 THEN array(struct(x0 AS x, y0 AS y), struct(x1, y0), struct(x0, y0)) WHEN 1 THEN array(struct(x0, y0), struct(x1, y1), struct(x1, y0), struct(x0, y1 + 1))"
-        " WHEN 2 THEN array(struct(x0, y0), struct(x0 + 2000000000, y0), struct(x0, y1)) ELSE array(struct(x0, y0), struct(x1, y0), struct(x1, y1), struct(x0, y1)) END"
+        "transform(CASE id % 9 WHEN 0 THEN array(x0, y0, x1, y0, x0, y0) WHEN 1 THEN array(x0, y0, x1, y1, x1, y0, x0, y1 + 1) WHEN 2 THEN array(x0, y0, x0 + 2000000000, y0, x0, y1)"
+        " ELSE array(x0, y0, x1, y0, x1, y1, x0, y1) END, v -> v)"
     )
-    return spark_view(spark, sf_dir, RECTS).select("id", "layer", ring.alias("ring"))
+    flat = spark_view(spark, sf_dir, RECTS).select("id", "layer", ring.alias("flat"))
+    points = F.transform(F.sequence(F.lit(0), F.expr("size(flat) div 2 - 1").cast("int")), lambda k: F.struct(F.get("flat", 2 * k).alias("x"), F.get("flat", 2 * k + 1).alias("y")))
+    return flat.select("id", "layer", points.alias("ring"))
 
 
 def _cuts(spark, sf_dir):

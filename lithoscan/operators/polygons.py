@@ -153,8 +153,8 @@ def _pairs(edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 def _without(pairs: DataFrame, gone: DataFrame) -> DataFrame:
     """``pairs`` without those that ``gone(a, b)`` has, either way round."""
-    g = gone.select(F.least("a", "b").alias("ga"), F.greatest("a", "b").alias("gb"))
-    return pairs.join(g, (F.col("a_id") == F.col("ga")) & (F.col("b_id") == F.col("gb")), "left_anti")
+    g = gone.select(F.least("a", "b").alias("wa"), F.greatest("a", "b").alias("wb"))
+    return pairs.join(g, (F.col("a_id") == F.col("wa")) & (F.col("b_id") == F.col("wb")), "left_anti")
 
 
 def _grouped(pairs: DataFrame, edges: DataFrame, near: DataFrame) -> DataFrame:
@@ -297,39 +297,41 @@ def facing_gaps(edges: DataFrame, interior: bool, most: int) -> DataFrame:
     ``interior``: the middle, on whole coordinates, is strictly inside; else it
     isn't. So a gap of 1 counts as outside. Diagonal edges count like others.
     """
-    e = _as_boxes(edges)
-    near = candidates(e, None, most, ["poly"])
+    near = staged(candidates(_as_boxes(edges), None, most, ["poly"]), "near-edges")
     c = {f"{s}{k}": F.col(f"{s}_{k}") for s in "ab" for k in ("sx", "sy", "ex", "ey", "x0", "y0", "x1", "y1")}
-    upright, flat = (c["asx"] == c["aex"]) & (c["bsx"] == c["bex"]), (c["asy"] == c["aey"]) & (c["bsy"] == c["bey"])
     lo, hi = (lambda ax: F.greatest(c[f"a{ax}0"], c[f"b{ax}0"])), (lambda ax: F.least(c[f"a{ax}1"], c[f"b{ax}1"]))
-    adx, ady, bdx, bdy = c["aex"] - c["asx"], c["aey"] - c["asy"], c["bex"] - c["bsx"], c["bey"] - c["bsy"]
-    length2 = adx * adx + ady * ady
-    t = lambda px, py: (px - c["asx"]) * adx + (py - c["asy"]) * ady
-    ts, te = t(c["bsx"], c["bsy"]), t(c["bex"], c["bey"])
-    near = near.withColumns({
-        "kind": F.when(upright, "x").when(flat, "y").when((adx * bdy - ady * bdx == 0) & ~((c["asx"] == c["aex"]) | (c["asy"] == c["aey"])), "d"),
-        "tlo": F.greatest(F.least(ts, te), F.lit(0)), "thi": F.least(F.greatest(ts, te), length2), "length2": length2,
-        "cross": adx * (c["bsy"] - c["asy"]) - ady * (c["bsx"] - c["asx"]), "adx": adx, "ady": ady,
-    }).where("kind is not null")
-    spans = F.when(F.col("kind") == "x", lo("y") < hi("y")).when(F.col("kind") == "y", lo("x") < hi("x")).otherwise(F.col("tlo") < F.col("thi"))
-    wide = lambda x: F.col(x).cast("decimal(19,0)")
-    gap = F.when(F.col("kind") == "x", F.abs(c["ax0"] - c["bx0"])).when(F.col("kind") == "y", F.abs(c["ay0"] - c["by0"])).otherwise(isqrt(_div(wide("cross") * wide("cross"), F.col("length2")).cast("long")))
-
-    def rounded(number: Column) -> Column:
-        """The nearest whole of number / (2 length2), halves away from 0."""
-        twice = (2 * F.col("length2")).cast("decimal(19,0)")
-        return _div(number + F.when(number >= 0, F.col("length2")).otherwise(-F.col("length2")).cast("decimal(19,0)"), twice).cast("long")
-
-    sum_t = F.col("tlo") + F.col("thi")
-    dx = rounded(wide("adx") * sum_t.cast("decimal(19,0)") - wide("ady") * wide("cross"))
-    dy = rounded(wide("ady") * sum_t.cast("decimal(19,0)") + wide("adx") * wide("cross"))
-    x = F.when(F.col("kind") == "x", _div(c["ax0"] + c["bx0"], 2)).when(F.col("kind") == "y", _div(lo("x") + hi("x"), 2)).otherwise(c["asx"] + dx)
-    y = F.when(F.col("kind") == "x", _div(lo("y") + hi("y"), 2)).when(F.col("kind") == "y", _div(c["ay0"] + c["by0"], 2)).otherwise(c["asy"] + dy)
-    found = near.where(spans).select(F.col("a_poly").alias("poly"), F.col("a_layer").alias("layer"), gap.cast("long").alias("gap"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    found = None
+    for ax, by in (("x", "y"), ("y", "x")):
+        upright = near.where((c[f"as{ax}"] == c[f"ae{ax}"]) & (c[f"bs{ax}"] == c[f"be{ax}"]) & (lo(by) < hi(by)))
+        middle = {ax: _div(c[f"a{ax}0"] + c[f"b{ax}0"], 2), by: _div(lo(by) + hi(by), 2)}
+        own = upright.select("a_poly", "a_layer", F.abs(c[f"a{ax}0"] - c[f"b{ax}0"]).alias("gap"), middle["x"].alias("x"), middle["y"].alias("y"))
+        found = own if found is None else found.union(own)
+    found = found.union(_diagonal_gaps(near))
+    found = found.select(F.col("a_poly").alias("poly"), F.col("a_layer").alias("layer"), F.col("gap").cast("long").alias("gap"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
     found = inside(staged(found.where((F.col("gap") > 0) & (F.col("gap") < most)), "gaps"), edges)
     return found.where(F.col("inside") == F.lit(interior)).select(F.col("poly").alias("id"), "layer", "gap", "x", "y")
 
 
+def _diagonal_gaps(near: DataFrame) -> DataFrame:
+    """``a_poly, a_layer, gap, x, y`` of the parallel diagonal edges of ``near``: the perpendicular distance where they run side by side."""
+    c = {f"{s}{k}": F.col(f"{s}_{k}") for s in "ab" for k in ("sx", "sy", "ex", "ey")}
+    slanted = near.where((c["asx"] != c["aex"]) & (c["asy"] != c["aey"]) & (c["bsx"] != c["bex"]) & (c["bsy"] != c["bey"]))
+    slanted = slanted.withColumns({"adx": c["aex"] - c["asx"], "ady": c["aey"] - c["asy"]}).where((F.col("adx") * (c["bey"] - c["bsy"]) - F.col("ady") * (c["bex"] - c["bsx"])) == 0)
+    along = lambda px, py: (px - c["asx"]) * F.col("adx") + (py - c["asy"]) * F.col("ady")
+    d = slanted.withColumns({"ts": along(c["bsx"], c["bsy"]), "te": along(c["bex"], c["bey"]), "length2": F.col("adx") * F.col("adx") + F.col("ady") * F.col("ady")})
+    d = d.withColumns({"tlo": F.greatest(F.least("ts", "te"), F.lit(0)), "thi": F.least(F.greatest("ts", "te"), F.col("length2")), "cross": F.col("adx") * (c["bsy"] - c["asy"]) - F.col("ady") * (c["bsx"] - c["asx"])}).where("tlo < thi")
+    wide = lambda x: F.col(x).cast("decimal(19,0)")
+    d = d.withColumn("span", F.col("tlo") + F.col("thi")).withColumns({
+        "d2": _div(wide("cross") * wide("cross"), F.col("length2")).cast("long"),
+        "nx": wide("adx") * wide("span") - wide("ady") * wide("cross"), "ny": wide("ady") * wide("span") + wide("adx") * wide("cross"),
+    })
+    # the nearest whole of n / (2 length2), halves away from 0
+    whole = lambda n: _div(F.col(n) + F.signum(F.col(n)).cast("decimal(1,0)") * wide("length2"), (2 * F.col("length2")).cast("decimal(19,0)")).cast("long")
+    d = d.withColumns({"root": F.floor(F.sqrt(F.col("d2").cast("double"))).cast("long"), "mx": c["asx"] + whole("nx"), "my": c["asy"] + whole("ny")})
+    gap = F.when(F.col("root") * F.col("root") > F.col("d2"), F.col("root") - 1).when((F.col("root") + 1) * (F.col("root") + 1) <= F.col("d2"), F.col("root") + 1).otherwise(F.col("root"))
+    return d.select("a_poly", "a_layer", gap.alias("gap"), F.col("mx").alias("x"), F.col("my").alias("y"))
+
+
 def min_width(edges: DataFrame, least: int) -> DataFrame:
     """Boxes narrower than ``least``, at their lower-left corner, and every inside gap below it of other rings."""
     boxes = boxes_of(edges)
