@@ -36,6 +36,8 @@ REMEMBERED = 200_000
 #: Steps of the search beyond best-fit decreasing, about two seconds on the
 #: driver, unless the caller gives others.
 STEPS = 100_000
+#: Choices that the search keeps open at once; older ones are made again when it comes back. Never changes results.
+OPEN = 32
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 250_000
 #: Runs up to which their table is broadcast; beyond, it is joined.
@@ -306,9 +308,13 @@ def bin_completion(counts: dict[int, int], room: int = LENGTH, steps: int | None
         for s, k in Counter(items).items():
             left[s] -= k * times
 
-    stack = [options()] if counts and n_best > least else []
+    # an open choice and how many options it has given; old ones are made again when the search comes back to them
+    stack: list[tuple[Iterator[Pattern] | None, int]] = [(options(), 0)] if counts and n_best > least else []
     while stack and n_best > least and left_steps.take():
-        found = next(stack[-1], None)
+        choice, given = stack[-1]
+        choice = choice or itertools.islice(options(), given, None)
+        found = next(choice, None)
+        stack[-1] = (choice, given + 1)
         if found is None:
             stack.pop()
             if path:
@@ -326,7 +332,9 @@ def bin_completion(counts: dict[int, int], room: int = LENGTH, steps: int | None
         bins += times
         waste += lost
         if any(left.values()):
-            stack.append(options())
+            if len(stack) > OPEN:
+                stack[-OPEN] = (None, stack[-OPEN][1])
+            stack.append((options(), 0))
             continue
         if bins < n_best:
             best, n_best = list(path), bins
