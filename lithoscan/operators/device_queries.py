@@ -59,8 +59,8 @@ SELECT poly_id, diff_id, status, CASE WHEN status = 'ok' THEN CASE WHEN isn THEN
     "diffusion": f"""{_S}, f AS (SELECT id % 50 AS net, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS a, CAST(sum(2 * (x1 - x0 + y1 - y0)) AS BIGINT) AS p FROM s WHERE layer = 3 GROUP BY id % 50)
 SELECT dev_id, v.s % 50 AS s, v.d % 50 AS d, coalesce(fs.a, 0) AS as_, coalesce(fs.p, 0) AS ps, coalesce(fd.a, 0) AS ad, coalesce(fd.p, 0) AS pd FROM ({DEVICES}) v LEFT JOIN f fs ON fs.net = v.s % 50 LEFT JOIN f fd ON fd.net = v.d % 50""",
     "resistors": f"""{_S}, bo AS (SELECT * FROM s WHERE layer = 0 AND EXISTS (SELECT 1 FROM s m WHERE m.layer = 10 AND {_OV.format('s', 'm')}) AND NOT EXISTS (SELECT 1 FROM s m WHERE m.layer = 2 AND {_OV.format('s', 'm')})),
-t AS (SELECT bo.id, bo.x1 - bo.x0 AS w, bo.y1 - bo.y0 AS h, m.id AS tid, m.id % 50 AS net, CASE WHEN bo.x1 - bo.x0 >= bo.y1 - bo.y0 THEN (m.x0 + m.x1) // 2 ELSE (m.y0 + m.y1) // 2 END AS at FROM bo JOIN s m ON m.layer = 1 AND {_OV.format('bo', 'm')})
-SELECT 'r' AS rule, id AS body, arg_min(net, (at, tid)) AS a, arg_max(net, (at, tid)) AS b, greatest(w, h) AS length, least(w, h) AS width, 2.0::DOUBLE * greatest(w, h) / least(w, h) AS ohm FROM t GROUP BY id, w, h HAVING count(*) >= 2""",
+t AS (SELECT bo.id, bo.x1 - bo.x0 AS w, bo.y1 - bo.y0 AS h, m.id AS tid, m.id % 50 AS net, CASE WHEN bo.x1 - bo.x0 >= bo.y1 - bo.y0 THEN (m.x0 + m.x1) // 2 ELSE (m.y0 + m.y1) // 2 END AS pos FROM bo JOIN s m ON m.layer = 1 AND {_OV.format('bo', 'm')})
+SELECT 'r' AS rule, id AS body, arg_min(net, (pos, tid)) AS a, arg_max(net, (pos, tid)) AS b, greatest(w, h) AS length, least(w, h) AS width, 2.0::DOUBLE * greatest(w, h) / least(w, h) AS ohm FROM t GROUP BY id, w, h HAVING count(*) >= 2""",
     "diodes": f"{_S}, {_common(0, 1, 'g')}, {_marks('g', 10, 'm')} SELECT 'd' AS rule, g.a AS anode, g.b AS cathode, g.a % 50 AS a, g.b % 50 AS c, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter FROM g JOIN m USING (a, b)",
     "capacitors": f"{_S}, {_common(0, 1, 'g')}, {_marks('g', 9, 'm')} SELECT 'c' AS rule, g.a AS top, g.b AS bottom, g.a % 50 AS a, g.b % 50 AS b, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter, (x1 - x0) * (y1 - y0) * 2e-6::DOUBLE AS af FROM g JOIN m USING (a, b)",
     "bipolars": f"""{_S}, {_common(0, 1, 'g')}, {_marks('g', 10, 'm')}, t AS (SELECT m.mark, m.a AS e, m.b AS bs, c.id AS c FROM m JOIN s x ON x.id = m.b JOIN s c ON c.layer = 3 AND {_OV.format('x', 'c')} WHERE c.id % 50 <> m.a % 50)

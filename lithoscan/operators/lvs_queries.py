@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..views import DEVICES, RECTS, TEXTS, VIAS, spark_view
-from . import lvs
+from . import lvs, netlist
 
 #: Boxes with even ids, cuts with odd ones; cuts (layer 9) join layers 0, 1 and 2.
 NODES = f"SELECT id * 2 AS id, layer, x0, y0, x1, y1 FROM ({RECTS}) nr UNION ALL SELECT id * 2 + 1, layer, x0, y0, x1, y1 FROM ({VIAS}) nv"
@@ -39,6 +39,18 @@ def _devices(s, d):
     return spark_view(s, d, DEVICES)
 
 
+def _verdict(s, d, change):
+    """Whether the devices are those of a netlist that ``change`` makes of them: its status, and the first check that differs."""
+    found = netlist.run_lvs(s, _devices(s, d), change(_devices(s, d)))
+    first = found.findings.select("check").distinct() if found.status == "Mismatch" else s.createDataFrame([("",)], "check string")
+    return first.select(F.lit(found.status).alias("status"), "check")
+
+
+def _renamed(t):
+    """The same netlist under other names, sources and drains exchanged."""
+    return t.withColumns({"g": F.col("g") * 3 + 1, "s": F.col("d") * 3 + 1, "d": F.col("s") * 3 + 1, "dev_id": F.col("dev_id") + 7})
+
+
 def _bound(s, d):
     return lvs.bind_texts(spark_view(s, d, TEXTS), _nodes(s, d))
 
@@ -58,9 +70,11 @@ QUERIES = {
     "floating_nets": lambda s, d: lvs.floating_nets(_nets(s, d), _nets(s, d).join(_gate_areas(s, d), "id").select("net")),
     "antenna": lambda s, d: lvs.antenna(_nets(s, d), _gate_areas(s, d), 0, RATIO),
     "antenna_car": lambda s, d: lvs.antenna_stages(_nodes(s, d), _joins(s), _gate_areas(s, d), [0, 1], [2, CUT], RATIO),
-    "lvs_match": lambda s, d: lvs.compare(_devices(s, d), _devices(s, d).withColumns({"g": F.col("g") * 3 + 1, "s": F.col("d") * 3 + 1, "d": F.col("s") * 3 + 1, "dev_id": F.col("dev_id") + 7})),
-    "lvs_mismatch": lambda s, d: lvs.compare(_devices(s, d), _devices(s, d).withColumn("g", F.when(F.col("dev_id") % 97 == 0, F.col("g") + 1).otherwise(F.col("g")))).groupBy("check").agg(F.count(F.lit(1)).alias("n")),
-    "lvs_refine": lambda s, d: lvs.refine(lvs.device_pins(_devices(s, d), "layout"))[0].groupBy("cls").agg(F.count(F.lit(1)).alias("n")),
+    "lvs_match": lambda s, d: _verdict(s, d, _renamed),
+    "lvs_mismatch": lambda s, d: _verdict(s, d, lambda t: _renamed(t).withColumn("g", F.when(F.col("dev_id") % 97 == 0, F.col("g") + 3).otherwise(F.col("g")))),
+    "lvs_counts": lambda s, d: lvs.compare(_devices(s, d), _renamed(_devices(s, d)).where("dev_id % 50 <> 0")),
+    "lvs_sizes": lambda s, d: _verdict(s, d, lambda t: _renamed(t).withColumn("w", F.col("w") + 1)),
+    "lvs_refine": lambda s, d: lvs.refine(lvs.device_pins(_devices(s, d), "layout"))[0].groupBy("cls").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("classes")),
 }
 
 _TOUCH = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
@@ -102,5 +116,8 @@ SELECT poly_id, diff_id, CAST(w AS BIGINT) AS w, CAST(hi - lo AS BIGINT) AS l, C
     "floating_nets": f"{_N}, {_GATES} SELECT net, count(*) AS boxes FROM g GROUP BY net HAVING net NOT IN (SELECT net FROM g JOIN ga USING (id))",
     "antenna": f"{_N}, {_GATES}, m AS (SELECT net, CAST(sum(CASE WHEN layer = 0 THEN (x1 - x0) * (y1 - y0) ELSE 0 END) AS BIGINT) AS metal, CAST(sum(coalesce(gate, 0)) AS BIGINT) AS gate FROM n JOIN g USING (id) LEFT JOIN ga USING (id) GROUP BY net) SELECT net, metal, gate, metal * 1000 // gate AS milli FROM m WHERE gate > 0 AND metal > {RATIO} * gate",
     "antenna_car": f"{_N}, {_GATES}, {_STAGED}, w AS (SELECT st.id, max(CAST(cs.metal * 1000 // cs.gate AS BIGINT)) AS milli FROM st JOIN h ON h.id = st.node JOIN cs ON cs.net = h.net JOIN ga ON ga.id = st.id WHERE cs.gate > 0 GROUP BY st.id) SELECT id, milli FROM w WHERE milli > {1000 * RATIO}",
-    "lvs_match": "SELECT '' AS \"check\", '' AS detail WHERE FALSE",
+    "lvs_match": f"SELECT 'Match' AS status, '' AS \"check\" FROM (SELECT count(*) AS n FROM ({DEVICES}) d) q WHERE n > 0",
+    "lvs_mismatch": f"SELECT 'Mismatch' AS status, 'topology' AS \"check\" FROM (SELECT count(*) AS n FROM ({DEVICES}) d WHERE (dev_id + 7) % 97 = 0) q WHERE n > 0",
+    "lvs_counts": f"SELECT 'device_count' AS \"check\", kind || ': ' || count(*) || ' in layout, ' || count(*) FILTER ((dev_id + 7) % 50 <> 0) || ' in reference' AS detail FROM ({DEVICES}) d GROUP BY kind HAVING count(*) <> count(*) FILTER ((dev_id + 7) % 50 <> 0)",
+    "lvs_sizes": f"SELECT 'Mismatch' AS status, 'parametric' AS \"check\" FROM (SELECT count(*) AS n FROM ({DEVICES}) d) q WHERE n > 0",
 }

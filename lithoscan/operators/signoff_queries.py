@@ -87,6 +87,18 @@ def _status(s, d):
     return erc.suite_status(spark_view(s, d, "SELECT CAST(n_nationkey AS STRING) AS check, CASE WHEN n_regionkey >= 0 THEN 'Clean' ELSE 'NotRun' END AS status FROM nation"), 25)
 
 
+#: Devices on so few nets that N and P devices share both ends and the gate.
+DENSE = "SELECT p_partkey AS dev_id, CASE WHEN p_partkey % 2 = 0 THEN 'nmos' ELSE 'pmos' END AS kind, 1000 + p_partkey % 7 AS g, p_partkey % 3 AS s, 10 + p_partkey % 5 AS d, 100 AS w, 20 AS l FROM part WHERE p_partkey > 11"
+
+
+def _floating(s, d):
+    """Gates on a layer of their own: only those that a channel's net is tied to by a box of layer 1 are driven."""
+    n = lvs.nets(_nodes(s, d).where("layer in (1, 2, 3)"), s.createDataFrame([(1, 2), (1, 3)], "la int, lb int"))
+    g = _gates(s, d)
+    gate, channel = (n.join(g.select(F.col(c).alias("id")).distinct(), "id").select("net") for c in ("poly_id", "diff_id"))
+    return erc.floating_gate(n, gate, channel, [2, 3])
+
+
 QUERIES = {
     "derived_and": _region("intersection"),
     "derived_minus": _region("subtraction"),
@@ -97,11 +109,11 @@ QUERIES = {
     "derived_tree": _tree,
     "derived_interacting": lambda s, d: derived.interacting(_rects(s, d, 0), _rects(s, d, 1)).select("id"),
     "derived_edges": lambda s, d: derived.edge_filter(_rects(s, d).select("id", "x0", "y0", "x1", F.col("y0").alias("y1")), "horizontal", 100, 150),
-    "floating_gate": _erc(lambda s, d, n, g, v: erc.floating_gate(n, g, v, [2, 3])),
+    "floating_gate": _floating,
     "floating_well": lambda s, d: erc.floating_well(_wells(s, d), _rects(s, d, 3), _rects(s, d, 1)),
     "missing_tie": lambda s, d: erc.missing_tie(_rects(s, d, 3), _rects(s, d, 0), 120),
     "multiple_drivers": lambda s, d: erc.multiple_drivers(_devices(s, d)),
-    "supply_short": lambda s, d: erc.supply_short(_devices(s, d)),
+    "supply_short": lambda s, d: erc.supply_short(spark_view(s, d, DENSE)),
     "tie_high_low": lambda s, d: erc.tie_high_low(_devices(s, d)),
     "soft_connection": lambda s, d: erc.soft_connection(_rects(s, d, 0), _wells(s, d), _rects(s, d, 1)),
     "unconnected_pin": _erc(lambda s, d, n, g, v: erc.unconnected_pin(n, g.union(v), [0, 1])),
@@ -193,13 +205,15 @@ ORACLES = {
     "derived_grow": _area("ina", _cells("0", 40, 20, "id")),
     "derived_interacting": f"{_R}, k AS (SELECT * FROM r WHERE layer = 0), t AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.id <> b.id AND {_TOUCH}), reach AS (SELECT id, id AS other FROM k UNION SELECT reach.id, t.b FROM reach JOIN t ON reach.other = t.a), hit AS (SELECT DISTINCT a.id FROM k a JOIN r b ON b.layer = 1 AND {_OVER}) SELECT DISTINCT reach.id FROM reach JOIN hit ON hit.id = reach.other",
     "derived_edges": f"{_R} SELECT id, x0, y0, x1, y0 AS y1 FROM r WHERE x1 - x0 BETWEEN 100 AND 150",
-    "floating_gate": f"{_NETS}, {_FIRST.format('m')} {_find('floating_gate', 'net')} FROM f WHERE net IN (SELECT net FROM gn) AND net NOT IN (SELECT net FROM dn) AND net NOT IN (SELECT net FROM m WHERE layer NOT IN (2, 3))",
+    "floating_gate": f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM ({NODES}) z WHERE layer IN (1, 2, 3)), t AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND a.layer = b.layer AND {_TOUCH} UNION ALL SELECT a.id, b.id FROM n a JOIN n b ON {_OVER} AND ((a.layer = 1 AND b.layer IN (2, 3)) OR (b.layer = 1 AND a.layer IN (2, 3)))),
+rc AS (SELECT id, id AS other FROM n UNION SELECT rc.id, t.b FROM rc JOIN t ON rc.other = t.a), g AS (SELECT id, min(other) AS net FROM rc GROUP BY id), {_GATES}, m AS (SELECT n.*, g.net FROM n JOIN g USING (id)), {_FIRST.format('m')}
+{_find('floating_gate', 'net')} FROM f WHERE net IN (SELECT net FROM g JOIN gt ON g.id = gt.poly_id) AND net NOT IN (SELECT net FROM g JOIN gt ON g.id = gt.diff_id) AND net NOT IN (SELECT net FROM m WHERE layer NOT IN (2, 3))""",
     "floating_well": f"{_R}, td AS (SELECT DISTINCT a.* FROM r a JOIN r b ON a.layer = 3 AND b.layer = 1 AND {_TOUCH}) {_find('floating_well', 'a.id', 'a.x0', 'a.y0')} FROM w a WHERE NOT EXISTS (SELECT 1 FROM td b WHERE {_TOUCH})",
     "missing_tie": f"""{_R}, c AS (SELECT *, 0 AS k, x0 AS x, y0 AS y FROM r UNION ALL SELECT *, 1, x1, y0 FROM r UNION ALL SELECT *, 2, x1, y1 FROM r UNION ALL SELECT *, 3, x0, y1 FROM r),
 f AS (SELECT a.id, a.k, a.x, a.y FROM c a WHERE a.layer = 3 AND (a.x1 - a.x0) * (a.y1 - a.y0) >= 14400 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.layer = 0 AND {_TOUCH} AND ((b.x0 + b.x1) // 2 - a.x) * ((b.x0 + b.x1) // 2 - a.x) + ((b.y0 + b.y1) // 2 - a.y) * ((b.y0 + b.y1) // 2 - a.y) <= 14400))
 {_find('missing_tie', 'id', 'arg_min(x, k)', 'arg_min(y, k)')} FROM f GROUP BY id""",
     "multiple_drivers": f"WITH {_DEV} SELECT d AS net, count(DISTINCT g) AS gates FROM d WHERE d NOT IN (SELECT g FROM d) GROUP BY d HAVING count(DISTINCT g) > 1",
-    "supply_short": f"WITH {_DEV}, e AS (SELECT dev_id, kind, g, s AS net FROM d UNION SELECT dev_id, kind, g, d FROM d), f AS (SELECT * FROM e WHERE net NOT IN (SELECT g FROM d)) SELECT a.dev_id AS n_dev, b.dev_id AS p_dev FROM f a JOIN f b ON a.kind = 'nmos' AND b.kind = 'pmos' AND a.g = b.g AND a.net = b.net GROUP BY ALL HAVING count(*) >= 2 ORDER BY 1, 2 LIMIT 1",
+    "supply_short": f"WITH d AS ({DENSE}), e AS (SELECT dev_id, kind, g, s AS net FROM d UNION SELECT dev_id, kind, g, d FROM d), f AS (SELECT * FROM e WHERE net NOT IN (SELECT g FROM d)) SELECT a.dev_id AS n_dev, b.dev_id AS p_dev FROM f a JOIN f b ON a.kind = 'nmos' AND b.kind = 'pmos' AND a.g = b.g AND a.net = b.net GROUP BY ALL HAVING count(*) >= 2 ORDER BY 1, 2 LIMIT 1",
     "tie_high_low": f"WITH {_DEV} SELECT DISTINCT g AS net FROM d WHERE g IN (SELECT s FROM d) AND g NOT IN (SELECT d FROM d)",
     "soft_connection": f"{_R}, i AS (SELECT a.id AS pad, b.id AS well, a.x0, a.y0, a.x1, a.y1 FROM r a JOIN w b ON a.layer = 0 AND {_TOUCH}), o AS (SELECT a.id AS pad, b.id AS metal FROM r a JOIN r b ON a.layer = 0 AND b.layer = 1 AND {_TOUCH}) SELECT a.pad AS pa, b.pad AS pb, a.well FROM i a JOIN i b ON a.well = b.well AND a.pad < b.pad AND NOT ({_TOUCH}) WHERE NOT EXISTS (SELECT 1 FROM o u JOIN o v USING (metal) WHERE u.pad = a.pad AND v.pad = b.pad) ORDER BY 1, 2, 3 LIMIT 1",
     "unconnected_pin": f"{_NETS} {_find('unconnected_pin', 'id')} FROM m WHERE layer IN (0, 1) AND net NOT IN (SELECT net FROM dev)",
@@ -223,5 +237,22 @@ AND net IN (SELECT a.net FROM mm a JOIN w b ON {_TOUCH}) AND net IN (SELECT a.ne
     "pex_totals": f"{_PNET} SELECT kind, count(*) AS n, round(coalesce(sum(ohm), 0), 3) AS ohm, round(coalesce(sum(af), 0), 3) AS af FROM al GROUP BY kind",
     "pex_inductance": f"{_R}, {_MET.format('r')} SELECT id, round(0.2 * greatest(w, h) * (ln(2 * greatest(w, h) / (least(w, h) + 0.2)) + 0.5 + (least(w, h) + 0.2) / (3 * greatest(w, h))), 6) AS ph FROM q",
 }
+#: What a square of half side 20 fits in: cells between the sides, moved in and out by 20, that no uncovered cell of the framed grid meets when grown.
+ORACLES["derived_shrink"] = f"""{_R}, {_cells("0", 0, 0, "id")}, lim AS (SELECT grp, min(x0) AS ax, max(x1) AS bx, min(y0) AS ay, max(y1) AS zy FROM c GROUP BY grp),
+fx AS (SELECT grp, x, lead(x) OVER (PARTITION BY grp ORDER BY x) AS nx FROM (SELECT grp, x0 AS x FROM c UNION SELECT grp, x1 FROM c UNION SELECT grp, ax - 60 FROM lim UNION SELECT grp, bx + 60 FROM lim) q),
+fy AS (SELECT grp, y, lead(y) OVER (PARTITION BY grp ORDER BY y) AS ny FROM (SELECT grp, y0 AS y FROM c UNION SELECT grp, y1 FROM c UNION SELECT grp, ay - 60 FROM lim UNION SELECT grp, zy + 60 FROM lim) q),
+un AS MATERIALIZED (SELECT fx.grp, x, nx, y, ny FROM fx JOIN fy USING (grp) WHERE nx IS NOT NULL AND ny IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.grp = fx.grp AND x0 <= x AND x1 >= nx AND y0 <= y AND y1 >= ny)),
+sx AS (SELECT grp, x, lead(x) OVER (PARTITION BY grp ORDER BY x) AS nx FROM (SELECT grp, x + 20 AS x FROM fx UNION SELECT grp, x - 20 FROM fx) q), sy AS (SELECT grp, y, lead(y) OVER (PARTITION BY grp ORDER BY y) AS ny FROM (SELECT grp, y + 20 AS y FROM fy UNION SELECT grp, y - 20 FROM fy) q)
+SELECT sx.grp, CAST(sum((nx - x) * (ny - y)) AS BIGINT) AS area FROM sx JOIN sy USING (grp) JOIN lim USING (grp) WHERE x >= ax AND nx <= bx AND y >= ay AND ny <= zy
+  AND NOT EXISTS (SELECT 1 FROM un WHERE un.grp = sx.grp AND un.x < sx.nx + 20 AND sx.x - 20 < un.nx AND un.y < sy.ny + 20 AND sy.y - 20 < un.ny) GROUP BY sx.grp"""
+
+
+def _corner(name: str, params: str) -> str:
+    """Totals of one corner, its layers' parameters in ``params``."""
+    return f"""SELECT '{name}/' || kind AS kind, count(*) AS n, round(coalesce(sum(ohm), 0), 3) AS ohm, round(coalesce(sum(af), 0), 3) AS af FROM (WITH p AS (SELECT * FROM (VALUES {params}) v(layer, rs, ca, cf, ck, gap, il)),
+  q AS (SELECT *, (x1 - x0) / 1000.0 AS w, (y1 - y0) / 1000.0 AS h FROM r), zz AS (SELECT * FROM r) {_all('r', 'AND {apart} <= 500')}) u GROUP BY kind"""
+
+
+ORACLES["pex_corners"] = f"{_R} {_corner('typical', '(0, 0.1, 25.0, 40.0, 100.0, 200.0, 0.0), (1, 0.08, 15.0, 30.0, 80.0, 200.0, 10.0)')} UNION ALL {_corner('slow', '(0, 0.13, 25.0, 40.0, 120.0, 200.0, 0.0), (1, 0.1, 18.0, 30.0, 80.0, 200.0, 10.0)')}"
 # decimal literals as doubles, as Spark has them
-ORACLES = {k: v.replace("/ 1000.0", "/ 1000.0::DOUBLE").replace("::DOUBLE::DOUBLE", "::DOUBLE").replace("(0, 0.1,", "(0, 0.1::DOUBLE,").replace("/ 1000000.0 AS", "* 1e-6 AS") for k, v in ORACLES.items()}
+ORACLES = {k: v.replace("/ 1000.0", "/ 1000.0::DOUBLE").replace("::DOUBLE::DOUBLE", "::DOUBLE").replace("(0, 0.1,", "(0, 0.1::DOUBLE,").replace("(0, 0.13,", "(0, 0.13::DOUBLE,").replace("/ 1000000.0 AS", "* 1e-6 AS") for k, v in ORACLES.items()}

@@ -1,4 +1,8 @@
-"""Layout files as tables: one task per file, any path that Spark reads."""
+"""Layout files as tables, of either format: one task per file, any path that Spark reads.
+
+Large hierarchical files go by :mod:`lithoscan.sources.hierarchy`, which
+expands placements by joins instead.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +13,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import decompose, validity
-from . import gds
+from . import gds, oasis
 
 RING = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 SCHEMA = "file string, cell string, layer int, datatype int, ring array<struct<x:int,y:int>>, text string, path array<string>"
 
 
+def detect(data: bytes) -> str:
+    """``oasis`` by the stream's first bytes, else ``gds``."""
+    return "oasis" if oasis.is_oasis(data) else "gds"
+
+
+def write_layout(polygons: DataFrame, path: str, dbu_nm: float = 1.0, form: str = "gds") -> None:
+    """Write ``polygons(cell, layer, datatype, ring)`` as one file a partition, each cell whole within one; Spark's writer commits them, as rows of bytes.
+
+    The files hold the column ``content`` (Parquet) beside the cell's name, as no
+    Spark writer makes raw binary files; :func:`contents` gives a file's bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[str, gds.Structure] = {}
+        for b in batches:
+            for cell, layer, datatype, ring in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                points = [(p["x"], p["y"]) for p in ring]
+                cells.setdefault(cell, gds.Structure(cell)).elements.append(gds.Element("boundary", layer, datatype, [*points, points[0]]))
+        for name, cell in sorted(cells.items()):
+            lib = gds.Library(name, dbu_nm * 1e-3, dbu_nm * 1e-9, {name: cell})
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([oasis.write(lib) if form == "oasis" else gds.write(lib)])], names=["cell", "content"])
+
+    rows = polygons.select("cell", F.col("layer").cast("int"), F.col("datatype").cast("int"), "ring").repartition("cell").sortWithinPartitions("cell")
+    rows.mapInArrow(run, "cell string, content binary").write.mode("overwrite").parquet(path)
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """``cell, content`` of what :func:`write_layout` wrote."""
+    return spark.read.parquet(path).select("cell", "content")
+
+
 def read_layout(spark: SparkSession, path: str, top: str | None = None, strict: bool = True, dbu_nm: float | None = None) -> DataFrame:
-    """Polygons and texts of GDSII files: ``file, cell, layer, datatype, ring, text, path``; a fault of a file fails the read."""
+    """Polygons and texts of GDSII and OASIS files: ``file, cell, layer, datatype, ring, text, path``; a fault of a file fails the read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lib = gds.read(data, strict)
+                lib = oasis.read(data) if detect(data) == "oasis" else gds.read(data, strict)
                 if dbu_nm is not None:
                     gds.check_units(lib, dbu_nm)
                 part: list[gds.Shape] = []
