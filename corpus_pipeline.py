@@ -1,4 +1,11 @@
-"""A corpus from raw documents: quality rules, near-dedup, substring dedup, mixing, packing."""
+"""A corpus from raw documents: quality rules, near-dedup, substring dedup, mixing, packing.
+
+Every stage but the last returns the columns of its documents; other columns
+than its own pass through, whatever their names. A null text counts as an empty
+one and so fails the quality rules; rows of a null doc_id are kept by both
+dedup stages, as nothing says which document they are; repeated rows share
+their fate; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +17,11 @@ from lithoscan.llm.packing import pack
 from lithoscan.llm.quality_rules import keep_good
 from lithoscan.llm.simhash import keep_one
 from lithoscan.llm.substrings import remove_repeats
+from lithoscan.plans.stage import sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: those that pass the base rules and lie near their language's and source's others."""
     return keep_good(docs)
 
 
@@ -23,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without paragraphs that an earlier document has."""
+    """Documents without paragraphs that an earlier document has; one of which no word is left goes."""
     return remove_repeats(docs)
 
 
@@ -56,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name)
+            sweep(spark, docs)  # what the stage has written on its way
     return docs
