@@ -7,8 +7,10 @@ a lost executor costs a re-read, never a recomputation from the texts.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system at a task's end: idle workers are kept, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more, before a stage that needs the room."""
     gc.collect()

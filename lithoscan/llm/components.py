@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from .common import give_back
 
 __all__ = ["connected_components", "link_buckets"]
 
@@ -66,6 +67,7 @@ def link_buckets(
             whole = pa.Table.from_batches(kept).combine_chunks()
             if whole.num_rows:
                 yield from _linked(whole, keys, payload, link, _starts(whole, keys))
+        give_back()
 
     return dealt.drop("__g").mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_text_batches, table, with_rank
+from .common import give_back, materialize, small_text_batches, table, with_rank
 
 LENGTH = 2048
 END_ID = 0
@@ -127,6 +127,8 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
                         col.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.older = {}
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

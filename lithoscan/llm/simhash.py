@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_text_batches, table, utf8
+from .common import give_back, materialize, small_text_batches, table, utf8
 from .components import connected_components, link_buckets
 from .substrings import similar_texts
 
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("t")).mapInArrow(run, "doc_id long, fp long")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, packed, release, shuffle_partitions, small_text_batches, table, unpacked, utf8
+from .common import discard, give_back, materialize, packed, release, shuffle_partitions, small_text_batches, table, unpacked, utf8
 from .components import connected_components, link_buckets
 
 SHINGLE, WORDS, WINDOW = 5, 20, 30
@@ -245,6 +245,7 @@ def scan(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 ],
                 names=[c.split()[0] for c in SCAN.split(", ")],
             )
+        give_back()
 
     return docs.mapInArrow(run, SCAN)
 
@@ -312,6 +313,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, pieces: Cal
                 known.clear()
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "shingles"])
+        give_back()
 
     return docs.mapInArrow(run, "unit long, shingles binary")
 
@@ -362,6 +364,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float
                     keys.append(band_keys(sets, bands, rows)[0].view(np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "unit", "bands"])
+        give_back()
 
     found = materialize(_texts(docs).mapInArrow(run, "doc_id long, unit long, bands array<long>"), "texts")
     ids = found.groupBy("unit").agg(F.min("doc_id").alias("id"))
