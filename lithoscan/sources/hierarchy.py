@@ -67,7 +67,7 @@ def tables(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFra
                         for at in shifts:
                             rows.append((name, cell.name, e.sname, *gds.instance(e, at)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in PLACES.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] * 3 + [pa.float64()] * 6, strict=True)], names=[f.split()[0] for f in PLACES.split(", ")])
 
     return files.mapInArrow(shapes, SHAPES), files.mapInArrow(places, PLACES)
 
