@@ -55,13 +55,20 @@ def multiple_drivers(devices: DataFrame) -> DataFrame:
 
 
 def supply_short(devices: DataFrame) -> DataFrame:
-    """``n_dev, p_dev``: the first N/P pair of one gate that shares two source/drain nets which aren't gates."""
+    """``n_dev, p_dev``: the first N/P pair of one gate that shares two source/drain nets which aren't gates.
+
+    Devices meet by the two ends that they would share, of which only the first
+    N and the first P device are kept, so no pairs are made. A device has as many
+    such twos as its ends make: one, unless its id has several rows.
+    """
     gates = devices.select(F.col("g").alias("net")).distinct()
-    ends = devices.select("dev_id", "kind", "g", F.explode(F.array_distinct(F.array("s", "d"))).alias("net")).join(gates, "net", "left_anti")
-    n = ends.where("kind = 'nmos'").select(F.col("dev_id").alias("n_dev"), "g", "net")
-    p = ends.where("kind = 'pmos'").select(F.col("dev_id").alias("p_dev"), F.col("g").alias("pg"), F.col("net").alias("pn"))
-    both = n.join(p, (F.col("g") == F.col("pg")) & (F.col("net") == F.col("pn"))).groupBy("n_dev", "p_dev").count().where("count >= 2")
-    return both.select("n_dev", "p_dev").orderBy("n_dev", "p_dev").limit(1)
+    ends = devices.where("g is not null").select("dev_id", "kind", "g", F.explode(F.array_distinct(F.array("s", "d"))).alias("net")).where("net is not null").join(gates, "net", "left_anti")
+    own = ends.groupBy("dev_id", "kind").agg(F.array_sort(F.collect_set(F.struct("g", "net"))).alias("ends")).where("size(ends) >= 2")
+    twos = F.flatten(F.transform("ends", lambda one, i: F.transform(F.slice("ends", i + 2, F.size("ends")), lambda other: F.struct(one.alias("one"), other.alias("other")))))
+    lowest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("dev_id")))
+    both = own.select("dev_id", "kind", F.explode(twos).alias("two")).groupBy("two").agg(lowest("nmos").alias("n_dev"), lowest("pmos").alias("p_dev")).where("n_dev is not null and p_dev is not null")
+    # all twos that the first N device shares have it as their first
+    return both.agg(F.min(F.struct("n_dev", "p_dev")).alias("first")).where("first is not null").select("first.n_dev", "first.p_dev")
 
 
 def tie_high_low(devices: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lithoscan.operators import flow_queries, graph, lvs, pex, signoff_queries
+from lithoscan.operators import erc, flow_queries, graph, lvs, pex, signoff_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +108,27 @@ def test_coupled_pairs_are_not_shuffled(spark, monkeypatch, query):
         assert 0 < shuffled_rows(spark, signoff_queries.QUERIES[query](spark, SF)) < 10_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+DEVICE = "dev_id long, kind string, g long, s long, d long"
+
+
+def test_first_supply_short_by_brute_force(spark):
+    """Ends that are gates, equal, null or in either order; ids with several rows, and rows twice."""
+    rng = random.Random(5)
+    for n in (4, 8, 30, 60):
+        some = lambda *v: rng.choice(v)
+        rows = [(rng.randrange(n), some("nmos", "pmos"), some(1, 2, 3, None), some(1, 10, 11, 12, 13, 14, None), some(10, 11, 12, 13, 14, 15)) for _ in range(n)]
+        rows += rows[:2] + [(9, "nmos", 1, 20, 21)]
+        gates = {g for _, _, g, _, _ in rows}
+        ends = {(i, k, g, e) for i, k, g, *se in rows for e in se if None not in (g, e) and e not in gates}
+        shared = lambda a, b: {x[2:] for x in ends if x[:2] == (a, "nmos")} & {x[2:] for x in ends if x[:2] == (b, "pmos")}
+        want = min(((a, b) for a in range(n) for b in range(n) if len(shared(a, b)) >= 2), default=None)
+        assert [tuple(r) for r in erc.supply_short(spark.createDataFrame(rows, DEVICE)).collect()] == [want] * (want is not None)
+
+
+def test_supply_short_makes_no_pairs(spark):
+    """800 devices on one gate and two nets make 160,000 pairs."""
+    devices = spark.createDataFrame([(i, ("nmos", "pmos")[i % 2], 1, 5, 6) for i in range(800)], DEVICE)
+    assert [tuple(r) for r in erc.supply_short(devices).collect()] == [(0, 1)]
+    assert 0 < shuffled_rows(spark, erc.supply_short(devices)) < 10_000
