@@ -28,38 +28,94 @@ def conjugate_gradient(product: Callable[[np.ndarray], np.ndarray], i: np.ndarra
     raise ArithmeticError("conjugate gradient did not converge")
 
 
+#: Branches of a node up to which it is eliminated exactly.
+FEW = 8
+
+
+def _eliminate(near: dict[int, dict[int, float]], drawn: dict[int, float], fixed: dict[int, float]) -> list[tuple[int, dict[int, float]]]:
+    """Take free nodes of few branches out of ``near``, fewest first, each replaced by branches between its neighbours; in the order of elimination, with their branches.
+
+    Conductances are only added, multiplied and divided, so a long chain loses
+    no digits. What a node draws goes to its neighbours.
+    """
+    heap = [(len(branches), n) for n, branches in near.items() if n not in fixed]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        degree, n = heapq.heappop(heap)
+        if n not in near or degree != len(near[n]):
+            continue  # in the heap once more, by the branches that it has now
+        if degree > FEW:
+            break
+        mine = near.pop(n)
+        out.append((n, mine))
+        total = sum(mine.values())
+        ends = list(mine.items())
+        for k, (a, g) in enumerate(ends):
+            del near[a][n]
+            drawn[a] += drawn[n] * (g / total)
+            for b, h in ends[:k]:
+                if a not in fixed or b not in fixed:
+                    near[a][b] = near[b][a] = near[a].get(b, 0.0) + g * (h / total)
+        for a in mine:
+            if a not in fixed:
+                heapq.heappush(heap, (len(near[a]), a))
+    return out
+
+
 def solve_grid(edges: list[tuple[int, int, float]], fixed: dict[int, float], loads: dict[int, float]) -> dict[int, float]:
     """Voltages of a resistor network: ``edges`` (a, b, ohm), ``fixed`` voltages and drawn currents; fixed nodes are eliminated.
 
-    The network stays a list of branches, so memory is that of its edges.
+    Trees, chains and ladders are solved exactly, by elimination, whatever their
+    length; conjugate gradient solves what is left between nodes of many
+    branches. The network stays a list of branches, so memory is that of its edges.
     """
-    nodes = sorted({n for a, b, _ in edges for n in (a, b)} | fixed.keys() | loads.keys())
-    at = {n: k for k, n in enumerate(nodes)}
-    a = np.array([at[x] for x, _, _ in edges], dtype=np.int64)
-    b = np.array([at[y] for _, y, _ in edges], dtype=np.int64)
-    siemens = np.array([1 / ohm for _, _, ohm in edges])
-    volts, free = np.zeros(len(nodes)), np.ones(len(nodes), dtype=bool)
+    near: dict[int, dict[int, float]] = {n: {} for n in sorted({n for a, b, _ in edges for n in (a, b)} | fixed.keys() | loads.keys())}
+    for a, b, ohm in edges:
+        if a != b:
+            near[a][b] = near[b][a] = near[a].get(b, 0.0) + 1 / ohm
+    nodes, drawn = list(near), {n: loads.get(n, 0.0) for n in near}
+    order = _eliminate(near, drawn, fixed)
+    volts = {n: float(v) for n, v in fixed.items()}
+    if len(near) > len(fixed):
+        volts |= _dense_part(near, fixed, drawn)
+    most = sum(abs(i) for i in loads.values())
+    for n, branches in reversed(order):
+        if not branches:  # the last node of a part that no fixed one is in
+            if abs(drawn[n]) > 1e-10 * most:
+                raise ArithmeticError("current is drawn where no fixed voltage is")
+            volts[n] = 0.0
+            continue
+        by = volts[next(iter(branches))]
+        volts[n] = by + (sum(g * (volts[m] - by) for m, g in branches.items()) - drawn[n]) / sum(branches.values())
+    return {n: volts[n] for n in nodes}
+
+
+def _dense_part(near: dict[int, dict[int, float]], fixed: dict[int, float], drawn: dict[int, float]) -> dict[int, float]:
+    """Voltages of the free nodes of ``near`` by conjugate gradient."""
+    at = {n: k for k, n in enumerate(near)}
+    pairs = [(at[x], at[y], g) for x, branches in near.items() for y, g in branches.items() if at[x] < at[y]]
+    a = np.array([x for x, _, _ in pairs], dtype=np.int64)
+    b = np.array([y for _, y, _ in pairs], dtype=np.int64)
+    siemens = np.array([g for _, _, g in pairs])
+    volts, free = np.zeros(len(at)), np.ones(len(at), dtype=bool)
     for n, v in fixed.items():
         volts[at[n]], free[at[n]] = v, False
 
     def flow(v: np.ndarray) -> np.ndarray:
         """Current that leaves each node."""
         along = siemens * (v[a] - v[b])
-        return np.bincount(a, along, len(nodes)) - np.bincount(b, along, len(nodes))
+        return np.bincount(a, along, len(at)) - np.bincount(b, along, len(at))
 
-    drawn = np.zeros(len(nodes))
-    for n, amps in loads.items():
-        drawn[at[n]] += amps
-    if free.any():
-        whole = np.zeros(len(nodes))
+    load, whole = np.array([drawn[n] for n in at]), np.zeros(len(at))
 
-        def product(x: np.ndarray) -> np.ndarray:
-            whole[free] = x
-            return flow(np.where(free, whole, 0.0))[free]
+    def product(x: np.ndarray) -> np.ndarray:
+        whole[free] = x
+        return flow(np.where(free, whole, 0.0))[free]
 
-        diagonal = (np.bincount(a, siemens, len(nodes)) + np.bincount(b, siemens, len(nodes)))[free]
-        volts[free] = conjugate_gradient(product, (-flow(np.where(free, 0.0, volts)) - drawn)[free], np.maximum(diagonal, 1e-300))
-    return {n: float(volts[k]) for n, k in at.items()}
+    diagonal = (np.bincount(a, siemens, len(at)) + np.bincount(b, siemens, len(at)))[free]
+    volts[free] = conjugate_gradient(product, (-flow(np.where(free, 0.0, volts)) - load)[free], diagonal, rounds=max(20_000, 4 * int(free.sum())))
+    return {n: float(volts[k]) for n, k in at.items() if n not in fixed}
 
 
 def effective_resistance(edges: list[tuple[int, int, float]], a: int, b: int) -> float:

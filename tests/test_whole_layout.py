@@ -3,9 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lithoscan.functions import solvers
 from lithoscan.operators import erc, flow_queries, graph, lvs, pex, signoff_queries
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +134,37 @@ def test_supply_short_makes_no_pairs(spark):
     devices = spark.createDataFrame([(i, ("nmos", "pmos")[i % 2], 1, 5, 6) for i in range(800)], DEVICE)
     assert [tuple(r) for r in erc.supply_short(devices).collect()] == [(0, 1)]
     assert 0 < shuffled_rows(spark, erc.supply_short(devices)) < 10_000
+
+
+def test_long_chains_are_solved():
+    """A tree 20,000 branches deep: conjugate gradient does not converge on it in 20,000 rounds."""
+    edges = [(k, k - 1 - k % 3, 1.0 + k % 5) for k in range(60_000) if k - 1 - k % 3 > 0]
+    got = solvers.solve_grid(edges, {2: 1.2}, {a: 0.001 for a, _, _ in edges})
+    below, want = {a: 1 for a, _, _ in edges}, {2: 1.2}
+    for a, b, _ in reversed(edges):
+        below[b] = below.get(b, 0) + below[a]
+    for a, b, ohm in edges:
+        want[a] = want[b] - ohm * below[a] * 0.001
+    assert got.keys() == want.keys() and max(abs(got[n] - want[n]) for n in want) < 1e-7
+
+
+@pytest.mark.parametrize("few", [-1, 1, 3, 8, 1000])
+def test_networks_by_dense_solution(monkeypatch, few):
+    """Meshes with double branches, loops on one node and several fixed nodes, however many nodes are eliminated."""
+    monkeypatch.setattr(solvers, "FEW", few)
+    rng = random.Random(few)
+    for n, m in ((2, 2), (12, 20), (40, 160), (60, 900)):
+        edges = [(k, rng.randrange(k), 0.5 + rng.random()) for k in range(1, n)] + [(rng.randrange(n), rng.randrange(n), 0.5 + rng.random()) for _ in range(m)]
+        fixed, loads = {0: 1.2, n - 1: 0.9}, {k: rng.random() for k in range(0, n, 2)}
+        g, i = np.zeros((n, n)), np.zeros(n)
+        for a, b, ohm in edges:
+            for p, q in ((a, b), (b, a)):
+                g[p, p] += 1 / ohm
+                g[p, q] -= 1 / ohm
+        for k, amps in loads.items():
+            i[k] = -amps
+        for k, v in fixed.items():
+            g[k], i[k] = 0, v
+            g[k, k] = 1
+        got = solvers.solve_grid(edges, fixed, loads)
+        assert [got[k] for k in range(n)] == pytest.approx(list(np.linalg.solve(g, i)), abs=1e-7)
